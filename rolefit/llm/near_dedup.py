@@ -27,12 +27,12 @@ def _probes(bins: int, tries: int) -> np.ndarray:
 def signature(shingles: np.ndarray, bins: int, probes: np.ndarray) -> np.ndarray:
     """One-permutation signature: the least hash of each bin; an empty bin copies the first occupied bin of its probe sequence.
 
-    `shingles`: sorted, distinct, not empty; the high bits give the bin, so a bin's least is its first.
+    `shingles`: sorted, distinct, not empty; bins are equal ranges of hashes, so a bin's least is its first.
     """
-    width = H.U(64 - (bins - 1).bit_length())
-    at = np.searchsorted(shingles, np.arange(bins, dtype=H.U) << width)
+    width = H.U(-(-(1 << 64) // bins))
+    at = np.searchsorted(shingles, np.arange(bins, dtype=H.U) * width)
     filled = np.zeros(bins, bool)
-    filled[(shingles >> width).astype(np.int64)] = True
+    filled[(shingles // width).astype(np.int64)] = True
     out = shingles[np.minimum(at, len(shingles) - 1)]
     empty = np.flatnonzero(~filled)
     for wide in (16, probes.shape[1]):
@@ -94,12 +94,12 @@ def _verifier(size: int, percent: int):
     return verify
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
     Documents are linked if their sets of `size`-word shingles (words: runs without ASCII white space, A-Z lower-cased;
     all words as one shingle if there are fewer) share `percent` of the union or more, checked on the full sets.
-    Candidates share one of `bands` bands of `rows` bins; two documents at similarity 0.8 miss each other with a chance of 5e-8.
+    Candidates share one of `bands` bands of `rows` bins; two documents at similarity 0.8 miss each other with a chance of 3e-6.
 
     Equal sets become one node first. Each bucket then gives a star of edges from its smallest node, not all its pairs. Where
     members of a bucket remain in different components, stars from other members follow, and at last the pairs between
@@ -143,16 +143,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
             centre = open_rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n_shingles", "component")).alias("c"))
             pairs = open_rows.join(centre.hint("merge"), "bucket").where("component <> c.component").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n_shingles").alias("n_a"), F.col("n_shingles").alias("n_b"))
-            if turn == 0:  # of the stars a node is in, the one it shares most buckets with stands first
-                pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("times"))
-                pairs = pairs.groupBy("b", "n_b").agg(F.max_by(F.struct("a", "n_a"), F.struct("times", -F.col("a"))).alias("c")).select("c.a", "b", "c.n_a", "n_b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         found = staged(confirmed(pairs), "links")
         links = found if links is None else links.union(found)
         if not last or not found.isEmpty():
-            labels = staged(connected_components(links), "labels")
+            labels = staged(connected_components(links, None if last else 1), "labels")
         if last:
             break
     if labels is None:

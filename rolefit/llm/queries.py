@@ -1,12 +1,17 @@
-"""Registered queries of the training-data operators, and their oracle SQL."""
+"""Registered queries of the training-data operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rolefit.llm.near_dedup import near_duplicates
+from rolefit.llm.packing import pack
+from rolefit.llm.token_files import token_round_trip
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +22,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op7_token_files)}
