@@ -18,6 +18,17 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
+OP10 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), q AS (
+  SELECT page_id, n, d, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1}
+    return {"op1_minhash_near_dedup": OP1, "op10_warc_archives": OP10}

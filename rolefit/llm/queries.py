@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rolefit.llm.decontaminate import contamination
 from rolefit.llm.near_dedup import near_duplicates
 from rolefit.llm.packing import pack
+from rolefit.llm.quality import classify
 from rolefit.llm.token_files import token_round_trip
+from rolefit.llm.warc import warc_round_trip
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -22,6 +25,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -30,5 +41,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op7_token_files)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op7_token_files, op10_warc_archives)}
