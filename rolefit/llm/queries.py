@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rolefit.llm.decontaminate import contamination
+from rolefit.llm.embedding_dedup import embedding_links
+from rolefit.llm.html_text import main_text
 from rolefit.llm.near_dedup import near_duplicates
 from rolefit.llm.packing import pack
 from rolefit.llm.quality import classify
@@ -37,13 +39,21 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op7_token_files, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op6_embedding_near_dedup, op7_token_files, op9_html_main_text, op10_warc_archives)}
