@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from rolefit.llm.decontaminate import contamination
 from rolefit.llm.embedding_dedup import embedding_links
 from rolefit.llm.html_text import main_text
+from rolefit.llm.line_dedup import line_duplicates
 from rolefit.llm.near_dedup import near_duplicates
 from rolefit.llm.packing import pack
 from rolefit.llm.quality import classify
+from rolefit.llm.substring_dedup import without_repeated_spans
 from rolefit.llm.token_files import token_round_trip
 from rolefit.llm.warc import warc_round_trip
 
@@ -39,6 +41,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeated_spans(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_read(spark, sf_dir, "embeddings"))
 
@@ -47,6 +53,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages"))
 
@@ -56,4 +66,4 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op6_embedding_near_dedup, op7_token_files, op9_html_main_text, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files, op8_line_dedup, op9_html_main_text, op10_warc_archives)}
