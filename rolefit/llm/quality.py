@@ -115,16 +115,19 @@ def fit(labelled: DataFrame, fit_rows: int = 2000) -> Model:
     return Model(w * ratios, ratios, bias, slope, shift)
 
 
+def _scores(m: Model, texts: pa.Array) -> np.ndarray:
+    margins = [m.weights[own].sum(dtype=np.float64) / max(1e-9, float(np.sqrt((m.ratios[own].astype(np.float64) ** 2).sum()))) + m.bias for own in text_features(texts)]
+    return 1 / (1 + np.exp(-np.clip(m.slope * np.array(margins, float) + m.shift, -30, 30)))
+
+
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row: the chance that its quality is 1. A null text counts as empty, whose score is that of the bias."""
     model = model._replace(weights=model.weights.astype(np.float32), ratios=model.ratios.astype(np.float32))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers twice, whatever the input
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for batch in batches:
-            margins = [m.weights[own].sum(dtype=np.float64) / max(1e-9, float(np.sqrt((m.ratios[own].astype(np.float64) ** 2).sum()))) + m.bias for own in text_features(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(m.slope * np.array(margins, float) + m.shift, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(sent.value, batch.column("text")))], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
 
@@ -145,3 +148,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_row
     """
     scored = score_texts(docs, fit(labelled_rows(docs, labels), fit_rows))
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_rows: int = 2000) -> DataFrame:
+    """The rows of `docs` (doc_id, text and any other columns) whose score is `threshold` or more, in one pass without a join."""
+    model = fit(labelled_rows(docs, labels), fit_rows)
+    sent = docs.sparkSession.sparkContext.broadcast(model._replace(weights=model.weights.astype(np.float32), ratios=model.ratios.astype(np.float32)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(sent.value, batch.column("text")) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

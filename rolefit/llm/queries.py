@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rolefit.llm.decontaminate import contamination
 from rolefit.llm.embedding_dedup import embedding_links
 from rolefit.llm.html_text import main_text
@@ -65,5 +66,9 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files, op8_line_dedup, op9_html_main_text, op10_warc_archives)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files, op8_line_dedup, op9_html_main_text, op10_warc_archives, pipeline)}
