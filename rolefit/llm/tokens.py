@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Words in a worker's cache; a full cache is emptied. Any size gives the same ids.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+
+#: A stem that ends in an ASCII letter and the run of ASCII punctuation after it; no apostrophe, which can begin a contraction, and no part of a special token.
+_STEM = re.compile(rb"([^<|>]*[a-z])([.,;:!?#$%&*]+)")
 
 
 class WordEncoder:
     """Encodes bytes of text to ids, equal to `Tokenizer.encode(text, add_special_tokens=False)`.
 
-    For tokenizers that drop white space and never join text across it (word_bpe_49k.json is one): then a text's
+    For tokenizers that lower-case, drop white space and never join text across it or across the border of letters and punctuation (word_bpe_49k.json is one): then a text's
     ids are those of its words in order, and a word that is known already costs one lookup.
     """
 
@@ -25,24 +29,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._special = [t.content.lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
         self._index: dict[bytes, int] = {}
+        self._parts: dict[bytes, bytes] = {b"": b""}
         self._starts, self._sizes, self._pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
+        """Adds words to the cache. An ASCII letter and a run of punctuation after it are parted by the tokenizer, so stems and runs are encoded once each."""
         known = len(self._index)
         self._index.update(zip(words, range(known, known + len(words)), strict=True))
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        parts = [m.groups() if (m := _STEM.fullmatch(w)) else (w, b"") for w in words]
+        new = [x for x in dict.fromkeys(x for pair in parts for x in pair) if x not in self._parts]
+        for x, e in zip(new, self._tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in new], add_special_tokens=False), strict=True):
+            self._parts[x] = np.array(e.ids, np.uint32).tobytes()
+        ids = [self._parts[a] + self._parts[b] for a, b in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = len(self._pool) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self._starts, self._sizes = np.concatenate([self._starts, starts]), np.concatenate([self._sizes, sizes])
-        self._pool = np.concatenate([self._pool, np.fromiter((x for e in ids for x in e), np.uint32, int(sizes.sum()))])
+        self._pool = np.concatenate([self._pool, np.frombuffer(b"".join(ids), np.uint32)])
+
+    def _plain(self, text: bytes) -> bytes:
+        """ASCII letters in lower case, unless that could make a special token, which is found before lower-casing."""
+        low = text.lower()
+        return text if any(x in low for x in self._special) else low
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, their bounds)."""
-        words = [t.split() for t in texts]
+        words = [self._plain(t).split() for t in texts]
         flat = [w for ws in words for w in ws]
         if len(self._index) > CACHE_WORDS:
             self._clear()
