@@ -254,12 +254,14 @@ def teaching_pages(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np
 def main_text(pages: DataFrame, fit_pages: int = 200, fit_chars: int = 60_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html).
 
-    The labeller is trained on at most `fit_pages` pages of `fit_chars` characters at most, least hash of the html first; their labels come from the
+    The labeller is trained on at most `fit_pages` pages of `fit_chars` characters at most, all different, least hash of the html first; their labels come from the
     names of tags and classes. Every block of every page, whole, is then labelled in the context of its page, and those with a
     chance over one half are joined by newlines. Null or empty html, and pages without text, give an empty text. Null ids and repeated rows keep their rows.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sample = [r["html"] for r in base.where((F.length("html") <= fit_chars) & (F.length("html") > 0)).orderBy(F.xxhash64("html"), "page_id").limit(fit_pages).select("html").collect()]
+    able = base.where((F.length("html") <= fit_chars) & (F.length("html") > 0)).withColumn("h", F.xxhash64("html"))
+    chosen = [r["h"] for r in able.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
+    sample = [r["html"] for r in able.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).orderBy("h").select("html").collect()]
     taught = teaching_pages(sample)
     sent = pages.sparkSession.sparkContext.broadcast(Labeller().fit(taught) if taught else Labeller())  # the network's weights: a fixed size
 

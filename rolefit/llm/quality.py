@@ -101,8 +101,9 @@ def fit(labelled: DataFrame, fit_rows: int = 2000) -> Model:
     if not docs.all():
         return Model(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 1.0, float(8 * np.sign(docs[1] - docs[0])))
     ratios = np.log(counts[1] / (docs[1] + 2)) - np.log(counts[0] / (docs[0] + 2))
-    halves = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows // 2) for k in (0, 1)]
-    sample = halves[0].union(halves[1]).select("label", "text").mapInArrow(_featured, "label int, own binary").toPandas()
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
+    chosen = [r["h"] for k in (0, 1) for r in hashed.where(F.col("label") == k).select("h").distinct().orderBy("h").limit(fit_rows // 2).collect()]
+    sample = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h", "label"]).select("label", "text").mapInArrow(_featured, "label int, own binary").toPandas().sort_values(["label", "own"])
     rows, targets = [np.frombuffer(x, np.int32) for x in sample.own], np.where(sample.label == 1, 1, -1)
     norms = [max(1e-9, np.linalg.norm(ratios[r])) for r in rows]
     aside = np.random.default_rng(3).random(len(rows)) < 0.25
