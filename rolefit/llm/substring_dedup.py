@@ -68,8 +68,8 @@ def _anchored(span: int):
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             for first, _, data, offsets in text_chunks(batch.column("text")):
-                row, start, windows, anchor, block, _ = _row_blocks(data, offsets, span)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[first + row]), pa.array(start * 256 + windows), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64))], names=["uid", "place", "anchor", "block"])
+                row, start, windows, anchor, block, away = _row_blocks(data, offsets, span)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[first + row]), pa.array((start * 256 + away) * 256 + windows), pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64))], names=["uid", "place", "anchor", "block"])
 
     return anchored
 
@@ -82,15 +82,11 @@ def _bytes_of(span: int):
             out, size = [], 0
             for uid, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("uid", "text", "wanted")), strict=True):
                 data = text.encode()
-                cut = {}
                 for w in wanted:
-                    start, windows, anchor, parts = w["place"] // 256, w["place"] % 256, w["anchor"], w["parts"]
-                    if start not in cut:
-                        own = np.frombuffer(data, np.uint8)[start : start + windows - 1 + span]
-                        cut[start] = int(_blocks(own, np.array([0, len(own) + 1]), span)[5][0])
+                    start, first_away, windows, anchor, parts = w["place"] // 65536, w["place"] // 256 % 256, w["place"] % 256, w["anchor"], w["parts"]
                     # Equal windows lie equally far from their anchor, so slices of that distance never part them.
                     for part in range(parts):
-                        away = np.arange(cut[start], cut[start] - windows, -1)
+                        away = np.arange(first_away, first_away - windows, -1)
                         mine = np.flatnonzero((away * parts) // span == part)
                         if len(mine):
                             s, n = start + int(mine[0]), len(mine)
@@ -205,7 +201,7 @@ def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
     dealt = blocks.repartition("anchor")
     shared = dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1")
     met = staged(dealt.join(shared.hint("shuffle_hash"), "anchor").select("uid", "place", "anchor", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") > HOT, SLICES).otherwise(1).alias("parts")), "shared-blocks")
-    start = F.shiftrightunsigned("place", 8)
+    start = F.shiftrightunsigned("place", 16)
     whole = met.where("parts = 0").select("uid", start.alias("start"), (start + F.col("place") % 256 - 1 + span).alias("end"))
     wanted = met.where("parts > 0").groupBy("uid").agg(F.collect_list(F.struct("place", "anchor", "parts")).alias("wanted"))
     wide = docs.join(wanted.hint("merge"), "uid").select("uid", "text", "wanted").mapInArrow(_bytes_of(span), _WIDE)
