@@ -9,6 +9,8 @@ from rolefit.llm._work import staged
 
 #: Candidate lines up to which their keys are broadcast to the scan that fetches their texts; beyond, a merge join.
 BROADCAST_LINES = 200_000
+#: Lines that share a segment up to which their pairs are listed; beyond, the texts are joined by segment and only true links come out.
+LISTED_LINES = 32
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -50,23 +52,31 @@ def line_duplicates(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id
     with 0 links, and so are the lines of null ids. Null texts are one empty line; rows that share an id count as one document; an empty table gives no rows.
 
     Candidates come from an equi-join on segment hashes, where copies of a line count once; texts are only fetched for candidates and each
-    pair is checked with the banded edit distance of the `levenshtein` function.
+    pair is checked with the banded edit distance of the `levenshtein` function. Where more than `LISTED_LINES` lines share a segment, the check is
+    part of the join on it, so that links come out and no candidate pairs.
     """
     lines = document_lines(docs, id_col, text_col, min_chars)
     long = lines.where((F.col("n") >= min_chars) & F.col("doc_id").isNotNull())
     own, probes = segment_keys(F.col("line"), F.col("n"), max_edits, min_chars)
     tagged = F.concat(F.transform(own, lambda k: F.struct(k.alias("seg"), F.lit(True).alias("own"))), F.transform(probes, lambda k: F.struct(k.alias("seg"), F.lit(False).alias("own"))))
-    keys = long.select("k1", F.explode(tagged).alias("s")).select("s.seg", "k1", "s.own").where("seg is not null")
-    keys = keys.repartition("seg").groupBy("seg", "k1").agg(F.max("own").alias("own"))
-    x, y = keys.where("own").select("seg", F.col("k1").alias("a")), keys.select("seg", F.col("k1").alias("b"))
-    met = y.join(x.hint("shuffle_hash"), "seg").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(met.distinct(), "line-pairs")
-    wanted = staged(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct(), "line-keys")
+    keys = long.select("k1", F.explode(tagged).alias("s")).select("s.seg", "k1", "s.own").where("seg is not null").repartition("seg")
+    shared = keys.groupBy("seg").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.max("own").alias("any")).where("low <> high and any").select("seg")
+    met = staged(keys.join(shared.hint("shuffle_hash"), "seg").groupBy("seg", "k1").agg(F.max("own").alias("own")), "line-segments")
+    crowded = staged(met.groupBy("seg").agg(F.count("*").alias("m")).where(F.col("m") > LISTED_LINES).select("seg"), "line-crowded")
+    listed, joined = met.join(crowded.hint("merge"), "seg", "left_anti"), met.join(crowded.hint("merge"), "seg", "left_semi")
+    x, y = listed.where("own").select("seg", F.col("k1").alias("a")), listed.select("seg", F.col("k1").alias("b"))
+    pairs = staged(y.join(x.hint("merge"), "seg").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    wanted = staged(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).union(joined.select("k1")).distinct(), "line-keys")
     few = wanted.count() <= BROADCAST_LINES
     texts = staged(long.select("k1", "k2", "line", "n").join(F.broadcast(wanted) if few else wanted.hint("merge"), "k1").dropDuplicates(["k1", "k2"]), "line-texts")
+    near = (F.abs(F.col("a_n") - F.col("b_n")) <= max_edits) & (F.levenshtein("a_line", "b_line", max_edits) >= 0)
     left, right = (texts.select(F.col("k1").alias(s), F.col("k2").alias(s + "2"), F.col("line").alias(s + "_line"), F.col("n").alias(s + "_n")) for s in "ab")
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.abs(F.col("a_n") - F.col("b_n")) <= max_edits)
-    links = both.where(F.levenshtein("a_line", "b_line", max_edits) >= 0).select("a", "a2", "b", "b2")
+    few_links = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(near).select("a", "a2", "b", "b2")
+    x, y = joined.where("own").select("seg", F.col("k1").alias("a")).join(left.hint("merge"), "a"), joined.select(F.col("seg").alias("seg_b"), F.col("k1").alias("b")).join(right.hint("merge"), "b")
+    many_links = x.join(y.hint("merge"), (F.col("seg") == F.col("seg_b")) & (F.struct("a", "a2") != F.struct("b", "b2")) & near)
+    swap = F.struct("a", "a2") > F.struct("b", "b2")
+    many_links = many_links.select(*(F.when(swap, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("a", "b"), ("a2", "b2"), ("b", "a"), ("b2", "a2"))))
+    links = few_links.union(many_links).distinct()
     links = staged(links.union(links.select("b", "b2", "a", "a2")), "line-links")
 
     firsts = long.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))

@@ -232,7 +232,9 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_links(frame.limit(0)).count() == 0
 
 
-def test_line_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("listed", [1, 32])
+def test_line_duplicates_equal_brute_force(spark, monkeypatch, listed):
+    monkeypatch.setattr("rolefit.llm.line_dedup.LISTED_LINES", listed)
     r = random.Random(5)
     lines = [" ".join(words(8, k)) for k in range(40)]
 
