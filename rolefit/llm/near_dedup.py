@@ -15,7 +15,9 @@ from rolefit.llm.graph import connected_components
 
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
 #: Star rounds before the remaining pairs of different components are tested directly, and the pairs a bucket row may bring.
-STAR_ROUNDS, PAIRS_A_ROW = 4, 8
+STAR_ROUNDS, PAIRS_A_ROW = 2, 8
+#: Longs of a set's bitmap: one bit for each shingle's hash modulo the bits. A bit that only one of two sets has proves a shingle that the other lacks.
+BITMAP_LONGS = 32
 
 
 def _probes(bins: int, tries: int) -> np.ndarray:
@@ -77,6 +79,27 @@ def _signer(size: int, bands: int, rows: int):
     return sign
 
 
+def _bitmapper(size: int):
+    def bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = H.table(1, fold_case=True)
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column("text")):
+                sets = H.shingle_sets(data, offsets, values, size)
+                bits = np.zeros((len(sets), 64 * BITMAP_LONGS), np.uint8)
+                for row, s in zip(bits, sets, strict=True):
+                    row[(s % H.U(bits.shape[1])).astype(np.int64)] = 1
+                longs = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BITMAP_LONGS), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits.sum(axis=1, dtype=np.int64)), longs], names=["node", "n_shingles", "ones", "bits"])
+
+    return bitmaps
+
+
+def _possible(percent: int) -> str:
+    """SQL condition on rows x and y with (n_shingles, ones, b0, b1, ...): false only if the bits alone show that the sets share too little; true without bits (ones below 0)."""
+    alone = " + ".join(f"bit_count(x.b{i} & ~y.b{i})" for i in range(BITMAP_LONGS))
+    return f"(x.ones < 0 or y.ones < 0 or {100 + percent} * (least(x.n_shingles, y.n_shingles - y.ones + x.ones) - ({alone})) >= {percent} * (x.n_shingles + y.n_shingles))"
+
+
 def _verifier(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = H.table(1, fold_case=True)
@@ -103,7 +126,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets become one node first. Each bucket then gives a star of edges from its smallest node, not all its pairs. Where
     members of a bucket remain in different components, stars from other members follow, and at last the pairs between
-    different components alone, until no untested pair could join two components: components are those of all links.
+    different components alone, until no untested pair could join two components: components are those of all links. That last join
+    compares bitmaps of the sets, and gives out only pairs that these do not rule out; none that is linked is ever ruled out.
 
     Null or empty text: an empty set, linked with nothing. Null ids: returned with null component and kept false.
     Rows that share an id count as one node. Empty table: no rows. Other columns are not read.
@@ -116,6 +140,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = staged(keyed.join(shared.select("bucket").hint("merge"), "bucket"), "members")
     texts = staged(base.join(members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
 
+    def with_bits(rows: DataFrame) -> DataFrame:
+        # Rows of one id with equally large sets have no bitmap of their own, and pass the filter.
+        once = F.count("*") == 1
+        known = texts.mapInArrow(_bitmapper(size), "node long, n_shingles long, ones long, bits array<long>").groupBy("node", "n_shingles").agg(*(F.when(once, F.first(c)).alias(c) for c in ("ones", "bits")))
+        plain = [F.coalesce("ones", F.lit(-1)).alias("ones"), *(F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"b{i}") for i in range(BITMAP_LONGS))]
+        return rows.join(known.hint("merge"), ["node", "n_shingles"], "left").select("bucket", "node", "n_shingles", "component", *plain)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b")
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -136,8 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = turn == STAR_ROUNDS or (turn > 0 and worst <= 2 * PAIRS_A_ROW * n)
         if last:
-            x, y = open_rows.alias("x"), open_rows.alias("y")
-            pairs = x.join(y.hint("merge"), F.expr("x.bucket = y.bucket and x.component <> y.component and x.node < y.node"))
+            known = with_bits(open_rows)
+            near = f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles) and {_possible(percent)}"
+            pairs = known.alias("x").join(known.hint("merge").alias("y"), F.expr(f"x.bucket = y.bucket and x.component <> y.component and x.node < y.node and {near}"))
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n_shingles").alias("n_a"), F.col("y.n_shingles").alias("n_b"))
         else:
             order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))

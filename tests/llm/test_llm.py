@@ -48,7 +48,9 @@ def test_components(spark):
     assert connected_components(chain.limit(0)).count() == 0
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr("rolefit.llm.near_dedup.STAR_ROUNDS", rounds)
     texts = [None, "", " \n ", "one", "One", "a b c", "a b  c d e f"]
     for g in range(6):
         base = words(40 + 30 * g, g)
