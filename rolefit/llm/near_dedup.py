@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         found = staged(confirmed(pairs), "links")
         links = found if links is None else links.union(found)
-        if not last or not found.isEmpty():
-            labels = staged(connected_components(links, None if last else 1), "labels")
+        # One star round's labels are not yet components: the last turn contracts all links, also where it found none itself.
+        labels = staged(connected_components(links, None if last else 1), "labels")
         if last:
             break
     if labels is None:
