@@ -34,7 +34,7 @@ def choose_pivots(sample: np.ndarray, n: int, apart: float = 0.8) -> np.ndarray:
     return np.array(chosen)
 
 
-def _describe(pivots: dict[int, np.ndarray], prefix: int):
+def _describe(pivots: dict[int, np.ndarray], prefix: int, shared: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -42,7 +42,11 @@ def _describe(pivots: dict[int, np.ndarray], prefix: int):
                 own = batch.filter(pa.array(dims == dim))
                 p = pivots.get(int(dim), np.empty((0, int(dim))))
                 m = min(prefix, len(p))
-                near = np.argsort(-(_unit(_matrix(own.column("vector"))) @ p.T), axis=1, kind="stable")[:, :m] if m else np.empty((own.num_rows, 0), int)
+                if m < shared:  # too few pivots to tell vectors apart: all stand in the one list of the places 0 to `shared` - 1
+                    m = shared
+                    near = np.tile(np.arange(m), (own.num_rows, 1))
+                else:
+                    near = np.argsort(-(_unit(_matrix(own.column("vector"))) @ p.T), axis=1, kind="stable")[:, :m]
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(own.num_rows + 1) * m).astype(np.int32)), pa.array(np.sort(near, axis=1).astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("node", "size", "dim", "vector")), lists], names=["node", "size", "dim", "vector", "near"])
 
@@ -114,7 +118,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, prefix: int = 6
     Pivots are vectors of a bounded sample (at most 4 * `most_pivots` distinct vectors by least hash), about twice the square root of the number of
     distinct vectors, `most_pivots` at most, none close to another. Every vector is described by its `prefix` nearest pivots and stands in the
     inverted lists of all runs of `shared` of them, so two vectors meet where they share that many pivots; they are linked if their
-    cosine in double precision is `threshold` or more. Only vectors of equal length are compared.
+    cosine in double precision is `threshold` or more. Only vectors of equal length are compared; where these give fewer than `shared`
+    pivots, as a tight group does, they all stand in one list, and every two of them meet.
 
     Equal vectors are one node with a weight. A list of more than `block_rows` nodes is dealt out as pairs of blocks; a task sends on
     counts and one edge for each of its vectors, never pairs. Vectors that are null, empty, zero or hold null or non-finite components link with
@@ -130,8 +135,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, prefix: int = 6
         m = min(most_pivots, max(24, math.ceil(2 * math.sqrt(n))))
         sample = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(4 * m).select("vector").toArrow()
         pivots[dim] = choose_pivots(_matrix(sample.column("vector")), m)
-    described = staged(nodes.mapInArrow(_describe(pivots, prefix), "node long, size long, dim int, vector array<float>, near array<int>"), "described")
     few = max(1, shared)
+    described = staged(nodes.mapInArrow(_describe(pivots, prefix, few), "node long, size long, dim int, vector array<float>, near array<int>"), "described")
     combos = F.expr("flatten(transform(near, (p, i) -> transform(slice(near, i + 2, size(near)), q -> array(p, q))))") if few == 2 else F.expr("transform(near, p -> array(p))")
     if few > 2:
         raise ValueError("shared: 1 or 2")
