@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of 20 characters or more that occurred before, or that differ from an earlier line by two edits or fewer."""
-    return without_repeated_lines(docs)
+    """Texts without lines that occurred before, or, of 20 characters or more, that differ from an earlier line by two edits or fewer; empty lines stay."""
+    return without_repeated_lines(docs, short_copies=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

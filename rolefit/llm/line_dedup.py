@@ -43,13 +43,14 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     return lines.withColumn("n", F.char_length("line")).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
-def line_duplicates(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_duplicates(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", short_copies: bool = False) -> DataFrame:
     """(doc_id, line_no, n_chars, first_doc_id, first_line_no, n_links, kept) for every line of every document.
 
     Lines end at newlines; spaces, tabs and carriage returns around them do not count. Equal lines are one class, named by its first occurrence (smallest
     doc_id, then line number). n_links: other classes within `max_edits` edits (characters inserted, deleted or replaced). A line is
-    kept if it is its class's first occurrence and no linked class occurs before it. Lines of fewer than `min_chars` characters are always kept,
-    with 0 links, and so are the lines of null ids. Null texts are one empty line; rows that share an id count as one document; an empty table gives no rows.
+    kept if it is its class's first occurrence and no linked class occurs before it. Lines of fewer than `min_chars` characters have 0 links; with
+    `short_copies` those that are not empty have classes too, and only their first occurrences are kept, else they are always kept. So are empty lines and
+    the lines of null ids. Null texts are one empty line; rows that share an id count as one document; an empty table gives no rows.
 
     Candidates come from an equi-join on segment hashes, where copies of a line count once; texts are only fetched for candidates and each
     pair is checked with the banded edit distance of the `levenshtein` function. Where more than `LISTED_LINES` lines share a segment, the check is
@@ -79,24 +80,26 @@ def line_duplicates(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, id
     links = few_links.union(many_links).distinct()
     links = staged(links.union(links.select("b", "b2", "a", "a2")), "line-links")
 
-    firsts = long.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    least = min(1, min_chars) if short_copies else min_chars
+    classed = lines.where((F.col("n") >= least) & F.col("doc_id").isNotNull())
+    firsts = classed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     near = links.select(F.col("a").alias("k1"), F.col("a2").alias("k2"), "b", "b2")
     other = firsts.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("first").alias("other"))
     near = near.join(other.hint("merge"), ["b", "b2"]).groupBy("k1", "k2").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     known = firsts.join(near.hint("merge"), ["k1", "k2"], "left")
-    spots = long.select("doc_id", "line_no", "n", "k1", "k2").join(known.hint("merge"), ["k1", "k2"])
+    spots = classed.select("doc_id", "line_no", "n", "k1", "k2").join(known.hint("merge"), ["k1", "k2"])
     kept = (F.struct("doc_id", "line_no") == F.col("first")) & (F.col("other").isNull() | (F.col("first") < F.col("other")))
     out = spots.select("doc_id", "line_no", F.col("n").cast("long").alias("n_chars"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))
-    short = lines.where((F.col("n") < min_chars) | F.col("doc_id").isNull())
-    return out.union(short.select("doc_id", "line_no", F.col("n").cast("long"), F.col("doc_id"), F.col("line_no"), F.lit(0).cast("long"), F.lit(True)))
+    rest = lines.where((F.col("n") < least) | F.col("doc_id").isNull())
+    return out.union(rest.select("doc_id", "line_no", F.col("n").cast("long"), F.col("doc_id"), F.col("line_no"), F.lit(0).cast("long"), F.lit(True)))
 
 
-def without_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """`docs` (doc_id, text, n_chars and any other columns) with the lines that `line_duplicates` does not keep taken out of the texts.
 
     A document that loses all its lines is left out. n_chars is set to the new text's length where there is such a column.
     """
-    gone = line_duplicates(docs, max_edits, min_chars).where("not kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = line_duplicates(docs, max_edits, min_chars, short_copies=short_copies).where("not kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
     gone = staged(gone, "lines-gone")
     joined = docs.join(gone.hint("merge"), docs.doc_id.cast("long") == gone["_gone_id"], "left")
     rest = F.expr("filter(split(text, '\n', -1), (x, i) -> not array_contains(_gone, i))")

@@ -55,7 +55,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(_read(spark, sf_dir, "documents"))
+    return line_duplicates(_read(spark, sf_dir, "documents"), short_copies=True)
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
