@@ -23,7 +23,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _STOPS = frozenset("table ul ol dl div article section aside nav form body html".split())
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>)|iframe|object)(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -179,10 +179,10 @@ class Labeller:
         both = np.concatenate([self._run("f", x, mask)[0], self._run("b", x, mask)[0]], axis=2)
         return _sigmoid((both @ self.p["V"])[..., 0] + self.p["c"])
 
-    def _gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, total: int) -> dict[str, np.ndarray]:
         (hf, kf), (hb, kb) = self._run("f", x, mask), self._run("b", x, mask)
         both = np.concatenate([hf, hb], axis=2)
-        e = (_sigmoid((both @ self.p["V"])[..., 0] + self.p["c"]) - y) * mask / mask.sum()
+        e = (_sigmoid((both @ self.p["V"])[..., 0] + self.p["c"]) - y) * mask / total
         g = {"V": np.einsum("bth,bt->h", both, e)[:, None], "c": np.array([e.sum()])}
         back = e[..., None] * self.p["V"][:, 0]
         for d, kept, own in (("f", kf, back[..., :HIDDEN]), ("b", kb, back[..., HIDDEN:])):
@@ -205,18 +205,35 @@ class Labeller:
             order = r.permutation(len(pages))
             for at in range(0, len(order), batch):
                 own = [pages[k] for k in order[at : at + batch]]
-                x, mask = padded([p[0] for p in own])
-                y = np.zeros(mask.shape)
-                for k, (_, labels) in enumerate(own):
-                    y[k, : len(labels)] = labels
+                total, sums = sum(len(p[0]) for p in own), {k: 0.0 for k in self.p}
+                for part in _parts(own):
+                    x, mask = padded([p[0] for p in part])
+                    y = np.zeros(mask.shape)
+                    for k, (_, labels) in enumerate(part):
+                        y[k, : len(labels)] = labels
+                    for k, g in self._gradients(x, mask, y, total).items():
+                        sums[k] = sums[k] + g
                 n += 1
-                for k, g in self._gradients(x, mask, y).items():
+                for k, g in sums.items():
                     m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g, 0.999 * m2[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - rate * (m1[k] / (1 - 0.9**n)) / (np.sqrt(m2[k] / (1 - 0.999**n)) + 1e-8)
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         return self
 
 
+def _parts(pages: list[tuple[np.ndarray, np.ndarray]], cells: int = 16384) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """The pages of one step as they are, or in runs of like length where padded they take more than `cells` rows: a step's memory is then that of its longest page."""
+    if len(pages) * max(len(p[0]) for p in pages) <= cells:
+        return [pages]
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for p in sorted(pages, key=lambda p: len(p[0])):
+        if out and (len(out[-1]) + 1) * len(p[0]) <= cells:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x, mask = np.zeros((len(rows), max(map(len, rows)), INPUT), np.float32), np.zeros((len(rows), max(map(len, rows))), bool)
     for k, r in enumerate(rows):
@@ -239,7 +256,6 @@ def teaching_pages(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np
         own = blocks(page)
         if not own:
             continue
-        own = own[:80]
         mixed: list[Block] = []
         for b in own:
             while r.random() < 0.3:
@@ -251,19 +267,34 @@ def teaching_pages(pages: list[str], seed: int = 3) -> list[tuple[np.ndarray, np
     return out
 
 
+def form_pages(n: int = 100, seed: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of made-up pages of the fixed forms alone, for tables without a page to teach from."""
+    r, out = np.random.default_rng(seed), []
+
+    def block(forms: tuple, most: int, linked: float) -> Block:
+        text = " ".join("".join(chr(97 + c) for c in r.integers(26, size=r.integers(2, 10))) for _ in range(r.integers(1, most)))
+        return Block(("html", "body", *forms[r.integers(len(forms))]), text, linked)
+
+    for _ in range(n):
+        before, body, after = (r.integers(a, b) for a, b in ((0, 6), (2, 20), (0, 6)))
+        page = [block(_EXTRAS, 12, float(r.random() < 0.4)) for _ in range(before)] + [block(_BODIES, 80, 0.0) for _ in range(body)] + [block(_EXTRAS, 12, float(r.random() < 0.4)) for _ in range(after)]
+        out.append((features(page), np.array([teaching_label(b) for b in page])))
+    return out
+
+
 def main_text(pages: DataFrame, fit_pages: int = 200, fit_chars: int = 60_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html).
 
     The labeller is trained on at most `fit_pages` pages of `fit_chars` characters at most, all different, least hash of the html first; their labels come from the
-    names of tags and classes. Every block of every page, whole, is then labelled in the context of its page, and those with a
+    names of tags and classes. Where no page is short enough or has text, made-up pages of fixed forms take their place. Every block of every page, whole, is then labelled in the context of its page, and those with a
     chance over one half are joined by newlines. Null or empty html, and pages without text, give an empty text. Null ids and repeated rows keep their rows.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     able = base.where((F.length("html") <= fit_chars) & (F.length("html") > 0)).withColumn("h", F.xxhash64("html"))
     chosen = [r["h"] for r in able.select("h").distinct().orderBy("h").limit(fit_pages).collect()]
     sample = [r["html"] for r in able.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).orderBy("h").select("html").collect()]
-    taught = teaching_pages(sample)
-    sent = pages.sparkSession.sparkContext.broadcast(Labeller().fit(taught) if taught else Labeller())  # the network's weights: a fixed size
+    taught = teaching_pages(sample) or form_pages()
+    sent = pages.sparkSession.sparkContext.broadcast(Labeller().fit(taught))  # the network's weights: a fixed size
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
