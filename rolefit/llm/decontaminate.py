@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.llm import _hashing as H
-from rolefit.llm._work import text_chunks
+from rolefit.llm._work import mapped, text_chunks
 
 K1, B, BLOCK = 1.2, 0.75, 16
 #: ASCII bytes other than letters and digits part words.
@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    counted = items.mapInArrow(_item_words, "item_id long, word long, n long")
+    counted = mapped(items, _item_words, "item_id long, word long, n long")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_items, n_words = counted.agg(F.countDistinct("item_id"), F.sum("n")).first()
     if not n_items:
@@ -209,6 +209,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         df = {r["word"] % (1 << 64): r["df"] for r in frequency.join(own.hint("merge"), "word", "left_semi").collect()}
         rows = [(r["item_id"], r["text"]) for r in items.where(chosen(k)).orderBy("item_id", "text").collect()]
         index = build_index(rows, df, n_items, n_words / n_items, threshold)
-        found = texts.mapInArrow(_searcher(spark.sparkContext.broadcast(index), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = mapped(texts, _searcher(spark.sparkContext.broadcast(index), threshold, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         result = found if result is None else result.union(found)
     return result

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.llm import _hashing as H
+from rolefit.llm._work import mapped
 
 #: Fixed values of the markup: tags that begin a new block, tags without content, and tags whose content is no text.
 BLOCK_TAGS = frozenset(
@@ -315,4 +316,4 @@ def main_text(pages: DataFrame, fit_pages: int = 200, fit_chars: int = 60_000) -
                         texts[k] = "\n".join(b.text for b, c in zip(leaves[k], chance, strict=False) if c > 0.5)
                 yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return base.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return mapped(base, extract, "page_id long, url string, text string, n_chars long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.llm import _hashing as H
-from rolefit.llm._work import id_and_text, staged, text_chunks
+from rolefit.llm._work import id_and_text, mapped, staged, text_chunks
 from rolefit.llm.graph import connected_components
 
 _SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -133,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id count as one node. Empty table: no rows. Other columns are not read.
     """
     base = id_and_text(docs, id_col, text_col)
-    signed = staged(base.mapInArrow(_signer(size, bands, rows), _SIGNED), "signed")
+    signed = staged(mapped(base, _signer(size, bands, rows), _SIGNED), "signed")
     nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
     keyed = staged(nodes.select("node", "n_shingles", F.explode("bands").alias("bucket")), "buckets")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def with_bits(rows: DataFrame) -> DataFrame:
         # Rows of one id with equally large sets have no bitmap of their own, and pass the filter.
         once = F.count("*") == 1
-        known = texts.mapInArrow(_bitmapper(size), "node long, n_shingles long, ones long, bits array<long>").groupBy("node", "n_shingles").agg(*(F.when(once, F.first(c)).alias(c) for c in ("ones", "bits")))
+        known = mapped(texts, _bitmapper(size), "node long, n_shingles long, ones long, bits array<long>").groupBy("node", "n_shingles").agg(*(F.when(once, F.first(c)).alias(c) for c in ("ones", "bits")))
         plain = [F.coalesce("ones", F.lit(-1)).alias("ones"), *(F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"b{i}") for i in range(BITMAP_LONGS))]
         return rows.join(known.hint("merge"), ["node", "n_shingles"], "left").select("bucket", "node", "n_shingles", "component", *plain)
 
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         wide = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-        return wide.mapInArrow(_verifier(size, percent), "a long, b long")
+        return mapped(wide, _verifier(size, percent), "a long, b long")
 
     exact = _same_set_links(signed)
     links, tested, labels = None, None, None

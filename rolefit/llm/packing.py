@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.llm._work import id_and_text, staged
+from rolefit.llm._work import id_and_text, mapped, staged
 from rolefit.llm.tokens import encoded_rows
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
 
     Null ids and repeated rows are packed like any others; an empty table gives no rows. Other columns are not read.
     """
-    pieces = staged(id_and_text(docs, id_col, text_col).mapInArrow(_cutter(tokenizer, capacity, end_id), _PIECES), "pieces")
+    pieces = staged(mapped(id_and_text(docs, id_col, text_col), _cutter(tokenizer, capacity, end_id), _PIECES), "pieces")
     by_part = pieces.groupBy("length", "part").agg(F.max("place").alias("last"))
     before = F.coalesce(F.sum(F.col("last") + 1).over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = staged(by_part.select("length", "part", before.alias("base"), "last"), "bases")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.llm import _hashing as H
-from rolefit.llm._work import id_and_text, text_chunks
+from rolefit.llm._work import id_and_text, mapped, text_chunks
 
 #: Hashed features: runs of so many bytes, and words; each kind hashes to FEATURES buckets in all.
 RUNS, FEATURES = (2, 4), 1 << 18
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, fit_rows: int = 2000) -> Model:
     """Fits on `labelled` (text, label 0 or 1, doc_id). Log-count ratios count over all its rows; the hinge-loss model takes at most
     `fit_rows` rows, half of each label, least hash of the id first. Without rows of both labels every score is 0.5 or the label's.
     """
-    counted = labelled.select("label", "text").mapInArrow(_counter, "feature long, low long, high long").groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()
+    counted = mapped(labelled.select("label", "text"), _counter, "feature long, low long, high long").groupBy("feature").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).toPandas()
     counts, docs = np.ones((2, FEATURES)), np.zeros(2)
     known = counted.feature.to_numpy() >= 0
     for k, name in enumerate(("low", "high")):
@@ -103,7 +103,7 @@ def fit(labelled: DataFrame, fit_rows: int = 2000) -> Model:
     ratios = np.log(counts[1] / (docs[1] + 2)) - np.log(counts[0] / (docs[0] + 2))
     hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
     chosen = [r["h"] for k in (0, 1) for r in hashed.where(F.col("label") == k).select("h").distinct().orderBy("h").limit(fit_rows // 2).collect()]
-    sample = hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h", "label"]).select("label", "text").mapInArrow(_featured, "label int, own binary").toPandas().sort_values(["label", "own"])
+    sample = mapped(hashed.where(F.col("h").isin(chosen)).dropDuplicates(["h", "label"]).select("label", "text"), _featured, "label int, own binary").toPandas().sort_values(["label", "own"])
     rows, targets = [np.frombuffer(x, np.int32) for x in sample.own], np.where(sample.label == 1, 1, -1)
     norms = [max(1e-9, np.linalg.norm(ratios[r])) for r in rows]
     aside = np.random.default_rng(3).random(len(rows)) < 0.25
@@ -130,7 +130,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(sent.value, batch.column("text")))], names=["doc_id", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
+    return mapped(id_and_text(docs, id_col, text_col), score, "doc_id long, score double")
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
@@ -160,4 +160,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fit_ro
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, batch.column("text")) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolefit.llm._work import id_and_text, new_folder, staged
+from rolefit.llm._work import id_and_text, mapped, new_folder, staged
 from rolefit.llm.tokens import encoded_rows
 
 #: Fixed values of the file format. File: frames, seek table, footer. A frame: one zstandard frame of the little-endian uint32 ids of
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         store.move(own, path)
         yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [path], "docs": [n], "ids": [total]})
 
-    return staged(ordered.mapInArrow(write, "part int, path string, docs long, ids long"), "token-files")
+    return staged(mapped(ordered, write, "part int, path string, docs long, ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str, docs_a_task: int = 20_000) -> DataFrame:
@@ -147,7 +147,7 @@ def read_token_files(files: DataFrame, folder: str, docs_a_task: int = 20_000) -
                         at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return runs.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(runs, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

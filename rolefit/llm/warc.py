@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolefit.llm._work import new_folder, staged
+from rolefit.llm._work import mapped, new_folder, staged
 from rolefit.llm.token_files import open_store
 
 #: Fixed values of the archive format.
@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 100, file_byt
         if done:
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()] * len(done), pa.int32()), "path": [p for p, _ in done], "records": [k for _, k in done]})
 
-    return staged(rows.mapInArrow(write, "part int, path string, records long"), "archives")
+    return staged(mapped(rows, write, "part int, path string, records long"), "archives")
 
 
 _READ = "path string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, gap_start long, gap_end long, gap_reason string"
@@ -194,7 +194,7 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _READ.split(", ")])
 
-    return spread.mapInArrow(read, _READ)
+    return mapped(spread, read, _READ)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
