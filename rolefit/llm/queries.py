@@ -7,13 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from rolefit.llm.decontaminate import contamination
 from rolefit.llm.embedding_dedup import embedding_links
 from rolefit.llm.html_text import main_text
 from rolefit.llm.line_dedup import line_duplicates
 from rolefit.llm.near_dedup import near_duplicates
 from rolefit.llm.packing import pack
+from rolefit.llm.pipeline import run
 from rolefit.llm.quality import classify
 from rolefit.llm.substring_dedup import without_repeated_spans
 from rolefit.llm.token_files import token_round_trip
@@ -55,7 +55,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(_read(spark, sf_dir, "documents"), short_copies=True)
+    return line_duplicates(_read(spark, sf_dir, "documents"), short_copies=True).drop("line_hash")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
