@@ -1,66 +1,7 @@
-"""A training-corpus pipeline: quality filter, line dedup, near-duplicate removal, benchmark decontamination, packing.
-
-Each stage takes (spark, docs, sf_dir), where docs has the columns of `documents`, and works on all that the stage before it kept.
-"""
+"""The training-corpus pipeline: quality classifier, line dedup, MinHash near-dedup, benchmark decontamination, best-fit packing."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rolefit.llm._work import staged
-from rolefit.llm.decontaminate import contamination
-from rolefit.llm.line_dedup import without_repeated_lines
-from rolefit.llm.near_dedup import near_duplicates
-from rolefit.llm.packing import pack
-from rolefit.llm.quality import keep_good
-
-#: Ids up to which a list of documents to leave out is broadcast; beyond, a merge join.
-BROADCAST_IDS = 100_000
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the ids in `gone`; null ids stay."""
-    ids = staged(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, taught by `labels`, scores 0.7 or more."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that occurred before, or, of 20 characters or more, that differ from an earlier line by two edits or fewer; empty lines stay."""
-    return without_repeated_lines(docs, short_copies=True)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    return _without(docs, near_duplicates(docs).where("not kept and doc_id is not null"))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage that holds the question and answer of an item of `benchmark`."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces, packed into sequences of 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
-
-#: The classifier and the tokenizer are beyond SQL; tests compare the stages with brute force.
-ORACLE_SQL = None
-
+from rolefit.llm.pipeline import ORACLE_SQL, STAGES, decontaminate, line_dedup, near_dedup, packing, quality, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs, name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "decontaminate", "line_dedup", "near_dedup", "packing", "quality", "run"]
