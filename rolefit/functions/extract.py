@@ -32,7 +32,8 @@ DOMAINS = {
     "Industrial": r"(?i)\bindustrial\b",
     "High-tech": r"(?i)\bhigh[- ]tech\b",
 }
-EMAIL = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
+EMAIL = r"(?U)\b[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}\b"
+GDPR_MARKER = "gdpr regulations."
 PHONE = r"\+\d[\d ()-]{6,}\d"
 ROLE_TOKENS = ("senior", "talent", "recruitment", "recruiter", "manager", "acquisition", "advisor", "specialist", "partner", "lead")
 PREFERRED_PHRASES = ("is a plus", "are a plus", "nice to have", "preferred", "preferably", "would be nice")
@@ -139,9 +140,8 @@ def recruiter_contact(description: Column) -> Column:
     phone = _found(window, PHONE, 0)
     before = F.substring(window, F.lit(1), F.instr(window, F.coalesce(phone, email)) - 1)
     identity = _stripped(before)
-    marker = "gdpr regulations."
-    tail = F.element_at(F.split(F.lower(identity), marker.replace(".", r"\.")), -1)
-    identity = normalized(F.when(F.contains(F.lower(identity), F.lit(marker)), _stripped(F.right(identity, F.length(tail)))).otherwise(identity))
+    tail = F.element_at(F.split(F.lower(identity), GDPR_MARKER.replace(".", r"\.")), -1)
+    identity = normalized(F.when(F.contains(F.lower(identity), F.lit(GDPR_MARKER)), _stripped(F.right(identity, F.length(tail)))).otherwise(identity))
     words = F.filter(F.split(identity, " "), lambda x: x != "")
     roles = F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(".,:;")).isin(*ROLE_TOKENS))
     cut = F.array_position(roles, True)

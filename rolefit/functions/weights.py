@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STRENGTH = {"core": 1.00, "strong": 0.80, "secondary": 0.55, "exposure": 0.25}
 REQUIREMENT = {"required": 1.00, "preferred": 0.60}
 LANGUAGE_LEVEL = {"native": 1.0, "fluent": 0.9, "professional": 0.75, "conversational": 0.5, "basic": 0.25, "none": 0.0}
+#: What a strength says of a spoken language where a table states no level.
+LANGUAGE_OF_STRENGTH = {"core": "native", "strong": "fluent", "secondary": "professional", "exposure": "basic"}
 SENIORITY = {"junior": 1, "medior": 2, "senior": 3, "lead": 4, "principal": 5, "staff": 6}
 BUCKET = {"skills": 0.40, "languages": 0.10, "protocols": 0.15, "standards": 0.10, "domains": 0.15, "seniority": 0.05, "years": 0.05}
 FEATURE_BUCKETS = ("skills", "languages", "protocols", "standards", "domains")

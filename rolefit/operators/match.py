@@ -1,26 +1,30 @@
 """Match of candidates and vacancies: hard gates with reasons, seven-bucket score, decision and ranking.
 
-Tables: candidates (cand_key, candidate_id, preferred_location, requires_visa_sponsorship, avoid_export_control_roles, seniority, seniority_confidence,
-years, years_confidence), candidate features (cand_key, bucket, name, strength, confidence), jobs (job_key, job_id, location, seniority,
-seniority_confidence, min_years, years_level, years_confidence, restriction) and job features (job_key, bucket, name, pos, requirement_level, confidence).
-Wide columns never enter the pairs: a pair is two keys, small attributes and numbers.
+Tables: candidates (cand_key, candidate_id, preferred_locations, excluded_locations, preferred_workplaces, excluded_workplaces, requires_visa_sponsorship,
+avoid_export_control_roles, seniority, seniority_confidence, years, years_confidence), candidate features (cand_key, bucket, name, strength or level,
+confidence), jobs (job_key, job_id, location, remote_policy, workplace_type, seniority, seniority_confidence, min_years, years_level, years_confidence,
+restrictions) and job features (job_key, bucket, name, pos, requirement_level, confidence). A list may also be a single value in a column of the
+singular name (preferred_location, restriction, ...), or missing. Wide columns never enter the pairs: a pair is two keys, small attributes and numbers.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolefit.functions import weights as W
-from rolefit.functions.text import clamped_confidence, contains_match, name_or_empty
+from rolefit.functions.text import clamped_confidence, contains_match, label_or_null, name_or_empty
 
-#: Candidates up to which they are broadcast to the vacancies; beyond, the pairs are dealt out by key ranges.
+#: Candidates up to which they are broadcast to the vacancies; beyond, all pairs are a plain product, and single attributes meet by merge joins.
 BROADCAST_CANDIDATES = 200_000
 
 
 def candidate_index(features: DataFrame) -> DataFrame:
     """(cand_key, bucket, name, quality): the best item of each name, by weight, confidence, then place; blank names are dropped."""
-    level = F.when(F.col("bucket") == "languages", W.lookup(W.LANGUAGE_LEVEL, F.element_at(F.create_map(*[F.lit(x) for x in ("core", "native", "strong", "fluent", "secondary", "professional", "exposure", "basic")]), F.col("strength")))).otherwise(W.lookup(W.STRENGTH, F.col("strength")))
+    spoken = F.col("level") if "level" in features.columns else F.element_at(F.create_map(*(F.lit(x) for pair in W.LANGUAGE_OF_STRENGTH.items() for x in pair)), F.lower(F.trim("strength")))
+    level = F.when(F.col("bucket") == "languages", W.lookup(W.LANGUAGE_LEVEL, spoken)).otherwise(W.lookup(W.STRENGTH, F.col("strength")))
     named = features.select("cand_key", "bucket", name_or_empty(F.col("name")).alias("name"), level.alias("weight"), clamped_confidence(F.col("confidence")).alias("confidence")).where("name <> ''")
     best = named.groupBy("cand_key", "bucket", "name").agg(F.max(F.struct("weight", "confidence")).alias("best"))
     return best.select("cand_key", "bucket", "name", (F.col("best.weight") * F.col("best.confidence")).alias("quality"))
@@ -45,65 +49,127 @@ def job_constraints(jobs: DataFrame, features: DataFrame, stored: bool = True) -
     years = jobs.where("min_years is not null and coalesce(years_level, '') <> 'preferred'" + ("" if stored else " and min_years > 0")).select("job_key", F.lit(6), F.lit(0), F.lit("years_experience"), F.lit("years"), nothing, "min_years")
     rows = named.union(senior).union(years)
     if stored:
-        rows = rows.union(jobs.where("restriction is not null").select("job_key", F.lit(7), F.lit(0), F.lit("restriction"), F.lit("restrictions"), "restriction", no_years))
+        restrictions = jobs.select("job_key", F.posexplode(_listed(jobs, "restrictions", "restriction")).alias("pos", "value"))
+        rows = rows.union(restrictions.select("job_key", F.lit(7), "pos", F.lit("restriction"), F.lit("restrictions"), "value", no_years))
     first = rows.groupBy("job_key", "kind", "bucket", "value", "min_years").agg(F.min(F.struct("part", "pos")).alias("at"))
     place = F.row_number().over(Window.partitionBy("job_key").orderBy("at", "value")).alias("pos")
     return first.select("job_key", place, "kind", "bucket", "value", "min_years")
 
 
+def _listed(df: DataFrame, many: str, one: str) -> Column:
+    """Normalised names of a list column, or of a single value; an empty list where there is neither."""
+    none = F.array().cast("array<string>")
+    values = F.col(many) if many in df.columns else F.array(F.col(one).cast("string")) if one in df.columns else none
+    return F.coalesce(F.filter(F.transform(values, name_or_empty), lambda x: x != ""), none)
+
+
+def candidate_attributes(candidates: DataFrame) -> DataFrame:
+    """The columns of candidates that gates and scores read, with the prefix c_, lists as lists."""
+    lists = {"preferred_locations": "preferred_location", "excluded_locations": "excluded_location", "preferred_workplaces": "preferred_workplace", "excluded_workplaces": "excluded_workplace"}
+    plain = ("requires_visa_sponsorship", "avoid_export_control_roles", "seniority", "seniority_confidence", "years", "years_confidence")
+    return candidates.select("cand_key", *(_listed(candidates, m, o).alias("c_" + m) for m, o in lists.items()), *(F.col(x).alias("c_" + x) for x in plain))
+
+
+def job_attributes(jobs: DataFrame) -> DataFrame:
+    """The columns of vacancies that gates and scores read, with the prefix j_; the workplace is the policy, or the type where that is blank."""
+    places = [label_or_null(F.col(x)) for x in ("remote_policy", "workplace_type") if x in jobs.columns]
+    plain = ("location", "seniority", "seniority_confidence", "min_years", "years_level", "years_confidence")
+    return jobs.select("job_key", F.coalesce(*places, F.lit(None).cast("string")).alias("j_workplace"), _listed(jobs, "restrictions", "restriction").alias("j_restrictions"), *(F.col(x).alias("j_" + x) for x in plain))
+
+
 def pairs(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
     """Every candidate with every vacancy, on small columns; columns of both sides carry the prefix c_ or j_ but for the keys."""
-    c = candidates.select("cand_key", *(F.col(x).alias("c_" + x) for x in candidates.columns if x not in ("cand_key", "candidate_id")))
-    j = jobs.select("job_key", *(F.col(x).alias("j_" + x) for x in jobs.columns if x not in ("job_key", "job_id")))
-    small = candidates.count() <= BROADCAST_CANDIDATES
-    return j.crossJoin(F.broadcast(c) if small else c)
+    c, j = candidate_attributes(candidates), job_attributes(jobs)
+    return j.crossJoin(F.broadcast(c) if candidates.count() <= BROADCAST_CANDIDATES else c)
 
 
-def location_reason() -> Column:
-    wanted, there = name_or_empty(F.col("c_preferred_location")), name_or_empty(F.col("j_location"))
-    return F.when(wanted == "", None).when(there == "", "preferred_location_unknown").when(~contains_match(there, wanted), "preferred_location_not_matched")
+def gated_pairs(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """`pairs` with the reasons of the first gate in `first`. The gate is asked once for each candidate and kind of vacancy: it reads three of its columns."""
+    c, j, kind = candidate_attributes(candidates), job_attributes(jobs), ["j_location", "j_workplace", "j_restrictions"]
+    kinds = j.select(kind).distinct()
+    asked = kinds.crossJoin(F.broadcast(c) if candidates.count() <= BROADCAST_CANDIDATES else c).withColumn("first", candidate_gate())
+    asked = asked.select(*(F.col(x).alias("k" + x) for x in kind), "first", *c.columns)
+    same = F.lit(True)
+    for x in kind:
+        same = same & j[x].eqNullSafe(asked["k" + x])
+    return j.join(asked.hint("merge"), same).drop(*("k" + x for x in kind))
 
 
-def workplace_reasons() -> Column:
-    """For a preferred and an excluded workplace, compared as equal labels."""
-    wanted, barred, there = (name_or_empty(F.col(x)) for x in ("c_preferred_workplace", "c_excluded_workplace", "j_remote_policy"))
-    return F.array_compact(
-        F.array(
-            F.when(wanted == "", None).when(there == "", "preferred_workplace_type_unknown").when(there != wanted, "preferred_workplace_type_not_matched"),
-            F.when((barred != "") & (barred == there), "excluded_workplace_type_matched"),
-        )
-    )
+def _reason(condition: Column, bucket: str | Column, reason: str | Column, expected: Column, actual: Column | None = None) -> Column:
+    """struct(bucket, reason, expected, actual) where the condition holds, else null."""
+    text = lambda x: (F.lit(x) if isinstance(x, str) else F.lit(None) if x is None else x).cast("string")
+    return F.when(condition, F.struct(text(bucket).alias("bucket"), text(reason).alias("reason"), text(expected).alias("expected"), text(actual).alias("actual")))
+
+
+def _meets(place: Column, names: Column) -> Column:
+    return F.exists(names, lambda x: contains_match(place, x))
 
 
-def stance_reasons() -> list[Column]:
-    """A candidate's stance on visas and export control; only an exact true rejects."""
-    r = F.col("j_restriction")
+def location_reasons() -> list[Column]:
+    wanted, barred, there, label = F.col("c_preferred_locations"), F.col("c_excluded_locations"), name_or_empty(F.col("j_location")), label_or_null(F.col("j_location"))
+    asked = F.array_join(wanted, ", ")
     return [
-        F.when(F.col("c_requires_visa_sponsorship").eqNullSafe(F.lit(True)) & r.isin("work_authorization", "citizenship"), "candidate_requires_visa_sponsorship"),
-        F.when(F.col("c_avoid_export_control_roles").eqNullSafe(F.lit(True)) & (r == "controlled_technology"), "candidate_avoids_export_control_roles"),
+        _reason((F.size(wanted) > 0) & (there == ""), "location", "preferred_location_unknown", asked),
+        _reason((F.size(wanted) > 0) & (there != "") & ~_meets(there, wanted), "location", "preferred_location_not_matched", asked, label),
+        _reason((there != "") & _meets(there, barred), "location", "excluded_location_matched", label, label),
     ]
 
 
-def restriction_reason() -> Column:
-    r, visa, avoids = F.col("j_restriction"), F.col("c_requires_visa_sponsorship"), F.col("c_avoid_export_control_roles")
-    return (
-        F.when(r.isNull(), None)
-        .when(r == "work_authorization", F.when(visa.isNull(), "work_authorization_unknown").when(visa, "work_authorization_not_satisfied"))
-        .when(r == "citizenship", "citizenship_eligibility_unknown")
-        .when(r == "controlled_technology", F.when(avoids.eqNullSafe(F.lit(True)), "export_control_not_satisfied").otherwise("legal_eligibility_unknown"))
-        .otherwise("restriction_eligibility_unknown")
-    )
+def workplace_reasons() -> list[Column]:
+    """Preferred and excluded workplaces, compared as equal labels."""
+    wanted, barred, label = F.col("c_preferred_workplaces"), F.col("c_excluded_workplaces"), F.col("j_workplace")
+    there, asked = name_or_empty(label), F.array_join(wanted, ", ")
+    return [
+        _reason((F.size(wanted) > 0) & (there == ""), "workplace_type", "preferred_workplace_type_unknown", asked),
+        _reason((F.size(wanted) > 0) & (there != "") & ~F.array_contains(wanted, there), "workplace_type", "preferred_workplace_type_not_matched", asked, label),
+        _reason((there != "") & F.array_contains(barred, there), "workplace_type", "excluded_workplace_type_matched", label, label),
+    ]
+
+
+def stance_reasons() -> Column:
+    """A candidate's stance on visas and export control, for every restriction in order; only an exact true rejects."""
+    needs, avoids = F.col("c_requires_visa_sponsorship").eqNullSafe(F.lit(True)), F.col("c_avoid_export_control_roles").eqNullSafe(F.lit(True))
+
+    def of(r: Column) -> Column:
+        return F.coalesce(
+            _reason(needs & r.isin("work_authorization", "citizenship"), "restrictions", "candidate_requires_visa_sponsorship", r, F.lit("candidate requires visa sponsorship")),
+            _reason(avoids & (r == "controlled_technology"), "restrictions", "candidate_avoids_export_control_roles", r, F.lit("candidate avoids export-control roles")),
+        )
+
+    return F.array_compact(F.transform("j_restrictions", of))
+
+
+def candidate_gate() -> Column:
+    """All reasons of the first gate, in order: locations, workplaces, stances."""
+    return F.concat(F.array_compact(F.array(*location_reasons(), *workplace_reasons())), stance_reasons())
+
+
+def restriction_reasons() -> Column:
+    """For every restriction of the vacancy in order, why the candidate does not meet it: work authorization passes on an exact false alone, citizenship and controlled technology never."""
+    visa, avoids = F.col("c_requires_visa_sponsorship"), F.col("c_avoid_export_control_roles").eqNullSafe(F.lit(True))
+
+    def of(r: Column) -> Column:
+        name = (
+            F.when(r == "work_authorization", F.when(visa.isNull(), "work_authorization_unknown").when(visa, "work_authorization_not_satisfied"))
+            .when(r == "citizenship", "citizenship_eligibility_unknown")
+            .when(r == "controlled_technology", F.when(avoids, "export_control_not_satisfied").otherwise("legal_eligibility_unknown"))
+            .otherwise("restriction_eligibility_unknown")
+        )
+        actual = F.when((r == "work_authorization") & visa, "candidate requires visa sponsorship").when((r == "controlled_technology") & avoids, "candidate avoids export-control roles")
+        return _reason(name.isNotNull(), "restrictions", name, r, actual)
+
+    return F.array_compact(F.transform("j_restrictions", of))
 
 
 def seniority_reason() -> Column:
     """An unknown vacancy value passes, an unknown candidate value does not."""
     job, own = W.lookup(W.SENIORITY, F.col("j_seniority"), None), W.lookup(W.SENIORITY, F.col("c_seniority"), None)
-    return F.when(job.isNull(), None).when(own.isNull() | (own < job), "seniority_not_satisfied")
+    return _reason(job.isNotNull() & (own.isNull() | (own < job)), "seniority", "seniority_not_satisfied", name_or_empty(F.col("j_seniority")), label_or_null(F.col("c_seniority")))
 
 
 def years_reason() -> Column:
     asked = F.col("j_min_years").isNotNull() & (F.coalesce(F.col("j_years_level"), F.lit("")) != "preferred")
-    return F.when(asked & (F.col("c_years").isNull() | (F.col("c_years") < F.col("j_min_years"))), "years_experience_not_satisfied")
+    return _reason(asked & (F.col("c_years").isNull() | (F.col("c_years") < F.col("j_min_years"))), "years_experience", "years_experience_not_satisfied", F.col("j_min_years"), F.col("c_years"))
 
 
 def seniority_score() -> Column:
@@ -123,34 +189,55 @@ _EXACT = "decimal(28,12)"  # products of weights and confidences have at most 12
 _HALF = 1e-10  # so that a ratio that ends in a half at the seventh place is rounded up whatever its binary form
 
 
-def feature_hits(index: DataFrame, items: DataFrame) -> DataFrame:
-    """(cand_key, job_key, n_required, <bucket>_sum): what the candidate's features cover of the vacancy's, for pairs with anything in common."""
-    hit = items.join(index, ["bucket", "name"])
-    worth = (F.col("importance") * F.col("quality")).cast(_EXACT)
-    return hit.groupBy("cand_key", "job_key").agg(F.count_if("required").alias("n_required"), *(F.sum(F.when(F.col("bucket") == b, worth)).alias(f"{b}_sum") for b in W.FEATURE_BUCKETS))
+def covered_pairs(index: DataFrame, items: DataFrame) -> DataFrame:
+    """(cand_key, job_key) where the candidate has all required features of a vacancy that has any: relational division.
+
+    Every vacancy starts from the required feature that fewest candidates have, and only the pairs that this gives meet the others.
+    """
+    asked = items.where("required").select("job_key", "bucket", "name").distinct()
+    holders = index.groupBy("bucket", "name").agg(F.count("*").alias("holders"))
+    rarest = asked.join(holders, ["bucket", "name"], "left").groupBy("job_key").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "bucket", "name")).alias("r"), F.count("*").alias("asked"))
+    begun = rarest.where("r.holders > 0").select("job_key", "r.bucket", "r.name").join(index.select("cand_key", "bucket", "name"), ["bucket", "name"]).select("cand_key", "job_key")
+    met = begun.join(asked, "job_key").join(index.select("cand_key", "bucket", "name"), ["cand_key", "bucket", "name"]).groupBy("cand_key", "job_key").agg(F.count("*").alias("met"))
+    return met.join(rarest.select("job_key", "asked"), "job_key").where("met = asked").select("cand_key", "job_key")
 
 
 def job_totals(items: DataFrame) -> DataFrame:
-    return items.groupBy("job_key").agg(F.count_if("required").alias("all_required"), *(F.sum(F.when(F.col("bucket") == b, F.col("importance").cast(_EXACT))).alias(f"{b}_all") for b in W.FEATURE_BUCKETS))
+    """(job_key, <bucket>_all): the importance of all items of each bucket."""
+    return items.groupBy("job_key").agg(*(F.sum(F.when(F.col("bucket") == b, F.col("importance").cast(_EXACT))).alias(f"{b}_all") for b in W.FEATURE_BUCKETS))
 
 
-def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD) -> DataFrame:
-    """One row for each pair: stage, status, score, the seven bucket scores and the gates' reasons.
+def pair_features(keys: DataFrame, index: DataFrame, items: DataFrame, listed: bool = True) -> DataFrame:
+    """(cand_key, job_key, n_missing, missing, <bucket>_sum) for the pairs in `keys` whose vacancy has items: what the candidate's features cover.
 
-    Stages: candidate_must_have, job_must_have, ranking. A pair that a gate stops has score 0, zero buckets and all reasons of that
-    gate; one in the last stage below the threshold has `score_below_threshold`. An empty bucket scores 0 and weights are not renormalised.
+    `missing` holds struct(part, pos, bucket, name) of required features without a counterpart, in the order of constraints; it is left out unless
+    `listed`, so that numbers alone are aggregated. The pairs are joined with their vacancies' items and then with the candidate's features by
+    (cand_key, bucket, name): no key is shared by many candidates.
     """
-    items, index = job_items(job_features), candidate_index(cand_features)
-    narrow = jobs.join(job_totals(items), "job_key", "left").select(jobs["*"], *(F.coalesce(F.col(x), F.lit(0)).alias(x) for x in ("all_required", *(f"{b}_all" for b in W.FEATURE_BUCKETS))))
-    rows = pairs(candidates, narrow).join(feature_hits(index, items), ["cand_key", "job_key"], "left")
-    first = F.array_compact(F.array(location_reason(), *stance_reasons()))
-    missing = F.col("j_all_required") > F.coalesce("n_required", F.lit(0))
-    second = F.array_compact(F.array(F.when(missing, "required_feature_missing"), seniority_reason(), years_reason(), restriction_reason()))
-    rows = rows.withColumns({"first": first, "second": second})
-    stage = F.when(F.size("first") > 0, "candidate_must_have").when(F.size("second") > 0, "job_must_have").otherwise("ranking")
-    rows = rows.withColumn("stage", stage)
-    ranked = F.col("stage") == "ranking"
-    score = {b: F.round(F.coalesce(F.try_divide(F.coalesce(F.col(f"{b}_sum"), F.lit(0)).cast("double"), F.col(f"j_{b}_all").cast("double")), F.lit(0.0)) + _HALF, 6) for b in W.FEATURE_BUCKETS}
+    part = F.element_at(F.create_map(*[x for k, b in enumerate(W.FEATURE_BUCKETS) for x in (F.lit(b), F.lit(k))]), F.col("bucket"))
+    met = keys.join(items, "job_key").join(index, ["cand_key", "bucket", "name"], "left")
+    worth, lacks = (F.col("importance") * F.col("quality")).cast(_EXACT), F.col("required") & F.col("quality").isNull()
+    sums = [F.count_if(lacks).alias("n_missing"), *(F.sum(F.when(F.col("bucket") == b, worth)).alias(f"{b}_sum") for b in W.FEATURE_BUCKETS)]
+    lists = [F.sort_array(F.collect_list(F.when(lacks, F.struct(part.alias("part"), F.col("pos").cast("int").alias("pos"), "bucket", "name")))).alias("missing")]
+    return met.groupBy("cand_key", "job_key").agg(*sums, *(lists if listed else []))
+
+
+def _missing_reasons() -> Column:
+    names = F.transform(F.coalesce("missing", F.array().cast("array<struct<part:int,pos:int,bucket:string,name:string>>")), lambda x: F.struct(x["bucket"].alias("bucket"), x["name"].alias("name")))
+    return F.transform(F.array_distinct(names), lambda x: F.struct(x["bucket"].alias("bucket"), F.lit("required_feature_missing").alias("reason"), x["name"].alias("expected"), F.lit(None).cast("string").alias("actual")))
+
+
+_NUMBERS = ("cand_key", "job_key", "stage", "status", "score", *(f"{b}_score" for b in W.BUCKET))
+_REASONS = "array<struct<bucket:string,reason:string,expected:string,actual:string>>"
+
+
+def _second_stage(passed: DataFrame, features: DataFrame, totals: DataFrame, threshold: float, listed: bool) -> DataFrame:
+    """The result of pairs that the first gate lets pass: second gate, score, decision."""
+    rows = passed.join(features, ["cand_key", "job_key"], "left").join(totals, "job_key", "left")
+    passes = (F.coalesce("n_missing", F.lit(0)) == 0) & seniority_reason().isNull() & years_reason().isNull()
+    rows = rows.withColumn("ranked", passes & ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0)))
+    ranked = F.col("ranked")
+    score = {b: F.round(F.coalesce(F.try_divide(F.coalesce(F.col(f"{b}_sum"), F.lit(0)).cast("double"), F.coalesce(F.col(f"{b}_all"), F.lit(0)).cast("double")), F.lit(0.0)) + _HALF, 6) for b in W.FEATURE_BUCKETS}
     score |= {"seniority": F.round(seniority_score(), 6), "years": F.round(years_score(), 6)}
     rows = rows.withColumns({f"{b}_score": F.when(ranked, s).otherwise(0.0) for b, s in score.items()})
     total = F.lit(0).cast("decimal(12,8)")
@@ -158,8 +245,61 @@ def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, j
         total = total + F.lit(str(w)).cast("decimal(3,2)") * F.col(f"{b}_score").cast("decimal(8,6)")
     rows = rows.withColumn("score", F.round(total, 6).cast("double"))
     match = ranked & (F.col("score") >= threshold)
-    reasons = F.when(F.size("first") > 0, F.col("first")).when(F.size("second") > 0, F.col("second")).when(match, F.array().cast("array<string>")).otherwise(F.array(F.lit("score_below_threshold")))
-    return rows.select("cand_key", "job_key", "stage", F.when(match, "match").otherwise("mismatch").alias("status"), "score", *(f"{b}_score" for b in W.BUCKET), reasons.alias("reasons"))
+    rows = rows.withColumns({"stage": F.when(ranked, "ranking").otherwise("job_must_have"), "status": F.when(match, "match").otherwise("mismatch")})
+    if not listed:
+        return rows.select(*_NUMBERS)
+    second = F.concat(_missing_reasons(), F.array_compact(F.array(seniority_reason(), years_reason())), restriction_reasons())
+    rows = rows.withColumn("details", F.when(ranked, F.array().cast(_REASONS)).otherwise(second))
+    reasons = F.transform("details", lambda x: x["reason"])
+    return rows.select(*_NUMBERS, F.when(ranked & ~match, F.array(F.lit("score_below_threshold"))).otherwise(reasons).alias("reasons"), "details")
+
+
+def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD, listed: bool = True) -> DataFrame:
+    """One row for each pair: stage, status, score, the seven bucket scores, the gates' reasons and their details (bucket, reason, expected, actual).
+
+    Stages: candidate_must_have, job_must_have, ranking. A pair that a gate stops has score 0, zero buckets and all reasons of that
+    gate; one in the last stage below the threshold has `score_below_threshold`. An empty bucket scores 0 and weights are not renormalised.
+    All pairs are a product by definition; `matches` gives the matches alone without one. The first gate reads attributes only, and only pairs
+    that pass it meet the features. Without `listed` reasons and details are left out.
+    """
+    items, index = job_items(job_features), candidate_index(cand_features)
+    rows = gated_pairs(candidates, jobs)
+    stopped = rows.where(F.size("first") > 0).select(
+        "cand_key", "job_key", F.lit("candidate_must_have").alias("stage"), F.lit("mismatch").alias("status"), F.lit(0.0).alias("score"), *(F.lit(0.0).alias(f"{b}_score") for b in W.BUCKET),
+        *([F.transform("first", lambda x: x["reason"]).alias("reasons"), F.col("first").alias("details")] if listed else []),
+    )
+    passed = rows.where(F.size("first") == 0).drop("first")
+    return stopped.unionByName(_second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, listed), job_totals(items), threshold, listed))
+
+
+def telling_buckets(index: DataFrame, items: DataFrame, threshold: float) -> list[str] | None:
+    """Buckets of which a pair must share an item to reach `threshold`: those whose absence leaves too little weight, chosen so that least pairs share one.
+
+    Null if even a pair without any common item could reach it. The work is a count for each name on either side; the driver gets a number for each bucket.
+    """
+    have, ask = index.groupBy("bucket", "name").agg(F.count("*").alias("c")), items.groupBy("bucket", "name").agg(F.count("*").alias("j"))
+    met = {r["bucket"]: r["n"] for r in ask.join(have, ["bucket", "name"]).groupBy("bucket").agg(F.sum(F.col("c") * F.col("j")).alias("n")).collect()}
+    rest = sum(w for b, w in W.BUCKET.items() if b not in W.FEATURE_BUCKETS)
+    able = [s for k in range(len(W.FEATURE_BUCKETS) + 1) for s in combinations(W.FEATURE_BUCKETS, k) if rest + sum(W.BUCKET[b] for b in W.FEATURE_BUCKETS if b not in s) < threshold - 1e-9]
+    return list(min(able, key=lambda s: sum(met.get(b, 0) for b in s))) if able else None
+
+
+def matches(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD) -> DataFrame:
+    """The rows of `evaluate` with status match, less their empty reasons, without a product of candidates and vacancies.
+
+    Pairs come from an equi-join on the items of `telling_buckets`; then they meet the attributes, the first gate, and the rest of their features.
+    """
+    items, index = job_items(job_features), candidate_index(cand_features)
+    buckets = telling_buckets(index, items, threshold)
+    if buckets is None:
+        return evaluate(candidates, cand_features, jobs, job_features, threshold, False).where("status = 'match'")
+    keys = items.where(F.col("bucket").isin(buckets)).join(index, ["bucket", "name"]).select("cand_key", "job_key").distinct()
+    c = candidate_attributes(candidates)
+    c = F.broadcast(c) if candidates.count() <= BROADCAST_CANDIDATES else c.hint("merge")
+    passed = keys.join(job_attributes(jobs), "job_key").join(c, "cand_key").where(F.size(candidate_gate()) == 0)
+    attributes_allow = seniority_reason().isNull() & years_reason().isNull() & (F.size(restriction_reasons()) == 0)
+    passed = passed.where(attributes_allow)
+    return _second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, False), job_totals(items), threshold, False).where("status = 'match'")
 
 
 def ranked_jobs(evaluated: DataFrame) -> DataFrame:

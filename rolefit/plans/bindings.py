@@ -1,4 +1,4 @@
-"""Candidates and vacancies derived from the star-schema tables: every tenth order is a vacancy, every supplier a candidate."""
+"""Candidates and vacancies derived from the star-schema tables: every order is a vacancy, every supplier a candidate."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_key, bucket, name, pos, requirement_level, confidence)."""
     level = F.when(F.col("l_returnflag") == "R", "required").when(F.col("l_returnflag") == "A", "preferred")
-    return _items(spark, sf_dir).where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("job_key"), "bucket", "name", "pos", level.alias("requirement_level"), F.round(1 - 5 * F.col("l_discount"), 4).alias("confidence"))
+    return _items(spark, sf_dir).select(F.col("l_orderkey").alias("job_key"), "bucket", "name", "pos", level.alias("requirement_level"), F.round(1 - 5 * F.col("l_discount"), 4).alias("confidence"))
 
 
 def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,21 +36,21 @@ def candidate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = orders.where("o_orderkey % 10 = 0").join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     return rows.selectExpr(
         "o_orderkey as job_key", "concat('job__', o_orderkey) as job_id", "lower(n_name) as location",
         "case o_orderstatus when 'F' then 'On-site' when 'O' then 'Hybrid' else 'Remote' end as remote_policy",
         "case o_orderpriority when '5-LOW' then 'junior' when '3-MEDIUM' then 'medior' when '2-HIGH' then 'senior' when '1-URGENT' then 'lead' end as seniority",
         "0.9D as seniority_confidence", "year(o_orderdate) % 8 as min_years", "case when o_orderkey % 4 = 0 then 'preferred' else 'required' end as years_level", "0.9D as years_confidence",
-        "case when o_orderkey % 370 = 0 then 'citizenship' when o_orderkey % 170 = 0 then 'work_authorization' when o_orderkey % 290 = 0 then 'controlled_technology' end as restriction",
+        "array_compact(array(case when o_orderkey % 37 = 0 then 'citizenship' end, case when o_orderkey % 17 = 0 then 'work_authorization' end, case when o_orderkey % 29 = 0 then 'controlled_technology' end)) as restrictions",
     )
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version 1 states no workplace; `preferred_workplace` and `excluded_workplace` are version 2's."""
+    """Suppliers as candidates, with lists of locations and single workplaces."""
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).selectExpr(
-        "s_suppkey as cand_key", "concat('cand_', s_suppkey) as candidate_id", "case when s_suppkey % 4 = 0 then lower(n_name) end as preferred_location",
+        "s_suppkey as cand_key", "concat('cand_', s_suppkey) as candidate_id", "case when s_suppkey % 4 = 0 then array(lower(n_name)) end as preferred_locations", "case when s_suppkey % 7 = 3 then array('france', 'Germany ') end as excluded_locations",
         "case s_suppkey % 3 when 0 then true when 1 then false end as requires_visa_sponsorship", "cast(null as boolean) as avoid_export_control_roles",
         "case s_suppkey % 6 when 0 then 'junior' when 1 then 'medior' when 2 then 'senior' when 3 then 'lead' when 4 then 'principal' else 'staff' end as seniority",
         "0.9D as seniority_confidence", "cast(s_suppkey % 12 as int) as years", "0.9D as years_confidence",

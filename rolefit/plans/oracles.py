@@ -10,7 +10,7 @@ b_feat AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ), jf AS (
   SELECT l_orderkey AS job_key, bucket, lower(name) AS name, pos, CASE l_returnflag WHEN 'R' THEN 'required' WHEN 'A' THEN 'preferred' END AS lvl, round(1 - 5 * l_discount, 4) AS conf
-  FROM b_feat WHERE l_orderkey % 10 = 0
+  FROM b_feat
 ), cf AS (
   SELECT l_suppkey AS cand_key, bucket, lower(name) AS name, round(max(1 - l_discount), 4) AS conf, count(*) AS n FROM b_feat GROUP BY l_suppkey, bucket, b_feat.name HAVING count(*) >= 2
 ), cq AS (
@@ -21,11 +21,11 @@ b_feat AS (
     CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '1-URGENT' THEN 4 END AS sen,
     CASE o_orderpriority WHEN '5-LOW' THEN 'junior' WHEN '3-MEDIUM' THEN 'medior' WHEN '2-HIGH' THEN 'senior' WHEN '1-URGENT' THEN 'lead' END AS sen_name,
     CAST(year(o_orderdate) % 8 AS INT) AS min_years, o_orderkey % 4 = 0 AS years_preferred,
-    CASE WHEN o_orderkey % 370 = 0 THEN 'citizenship' WHEN o_orderkey % 170 = 0 THEN 'work_authorization' WHEN o_orderkey % 290 = 0 THEN 'controlled_technology' END AS restriction
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0
+o_orderkey % 37 = 0 AS r_cit, o_orderkey % 17 = 0 AS r_work, o_orderkey % 29 = 0 AS r_tech, CASE o_orderstatus WHEN 'F' THEN 'On-site' WHEN 'O' THEN 'Hybrid' ELSE 'Remote' END AS policy_label
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ), cands AS (
-  SELECT s_suppkey AS cand_key, CASE WHEN s_suppkey % 4 = 0 THEN lower(n_name) END AS wanted, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS visa,
-    CAST(s_suppkey % 6 + 1 AS INT) AS s6, CASE WHEN s_suppkey % 6 = 4 THEN 5 WHEN s_suppkey % 6 = 5 THEN 6 ELSE s_suppkey % 6 + 1 END AS sen, CAST(s_suppkey % 12 AS INT) AS years,
+  SELECT s_suppkey AS cand_key, CASE WHEN s_suppkey % 4 = 0 THEN lower(n_name) END AS wanted, s_suppkey % 7 = 3 AS bars, CASE s_suppkey % 6 WHEN 0 THEN 'junior' WHEN 1 THEN 'medior' WHEN 2 THEN 'senior' WHEN 3 THEN 'lead' WHEN 4 THEN 'principal' ELSE 'staff' END AS sen_own, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS visa,
+    CASE WHEN s_suppkey % 6 = 4 THEN 5 WHEN s_suppkey % 6 = 5 THEN 6 ELSE s_suppkey % 6 + 1 END AS sen, CAST(s_suppkey % 12 AS INT) AS years,
     CASE s_suppkey % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' END AS pref_w, CASE s_suppkey % 5 WHEN 0 THEN 'on-site' WHEN 1 THEN 'remote' END AS excl_w
   FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ), ji AS (
@@ -42,26 +42,32 @@ def _per_bucket(template: str) -> str:
     return ", ".join(template.format(b=b) for b in _BUCKETS)
 
 
+#: The gates' reasons for one pair; r1 to r6 of the candidate's gate, s2 to s6 of the vacancy's, in the order in which they are listed.
+_GATES = """CASE WHEN wanted IS NOT NULL AND NOT (contains(location, wanted) OR contains(wanted, location)) THEN 'preferred_location_not_matched' END AS r1,
+    CASE WHEN bars AND location IN ('france', 'germany') THEN 'excluded_location_matched' END AS r2,
+    CASE WHEN policy <> pref_w THEN 'preferred_workplace_type_not_matched' END AS r3, CASE WHEN policy = excl_w THEN 'excluded_workplace_type_matched' END AS r4,
+    CASE WHEN visa AND r_cit THEN 'candidate_requires_visa_sponsorship' END AS r5, CASE WHEN visa AND r_work THEN 'candidate_requires_visa_sponsorship' END AS r6,
+    CASE WHEN jobs.sen IS NOT NULL AND cands.sen < jobs.sen THEN 'seniority_not_satisfied' END AS s2,
+    CASE WHEN NOT years_preferred AND years < min_years THEN 'years_experience_not_satisfied' END AS s3,
+    CASE WHEN r_cit THEN 'citizenship_eligibility_unknown' END AS s4,
+    CASE WHEN r_work THEN CASE WHEN visa IS NULL THEN 'work_authorization_unknown' WHEN visa THEN 'work_authorization_not_satisfied' END END AS s5,
+    CASE WHEN r_tech THEN 'legal_eligibility_unknown' END AS s6"""
+
 _EVALUATED = f"""
 {_BINDING}, tot AS (
-  SELECT job_key, count(*) FILTER (req) AS need, {_per_bucket("sum(CASE WHEN bucket = '{b}' THEN CAST(imp AS DECIMAL(28,12)) END) AS {b}_all")} FROM items GROUP BY job_key
+  SELECT job_key, count(DISTINCT bucket || '|' || name) FILTER (req) AS need, {_per_bucket("sum(CASE WHEN bucket = '{b}' THEN CAST(imp AS DECIMAL(28,12)) END) AS {b}_all")} FROM items GROUP BY job_key
 ), hit AS (
-  SELECT cand_key, job_key, count(*) FILTER (req) AS have, {_per_bucket("sum(CASE WHEN bucket = '{b}' THEN CAST(imp * q AS DECIMAL(28,12)) END) AS {b}_sum")}
+  SELECT cand_key, job_key, count(DISTINCT bucket || '|' || name) FILTER (req) AS have, {_per_bucket("sum(CASE WHEN bucket = '{b}' THEN CAST(imp * q AS DECIMAL(28,12)) END) AS {b}_sum")}
   FROM items JOIN cq USING (bucket, name) GROUP BY cand_key, job_key
 ), p0 AS (
-  SELECT c.cand_key, j.job_key, j.*, c.*, coalesce(need, 0) > coalesce(have, 0) AS missing, {_per_bucket("coalesce(CAST({b}_sum AS DOUBLE) / nullif(CAST({b}_all AS DOUBLE), 0), 0) AS {b}_raw")},
-    CASE WHEN wanted IS NOT NULL AND NOT (contains(location, wanted) OR contains(wanted, location)) THEN 'preferred_location_not_matched' END AS r1,
-    CASE WHEN visa AND restriction IN ('work_authorization', 'citizenship') THEN 'candidate_requires_visa_sponsorship' END AS r2,
-    CASE WHEN coalesce(need, 0) > coalesce(have, 0) THEN 'required_feature_missing' END AS s1,
-    CASE WHEN j.sen IS NOT NULL AND c.sen < j.sen THEN 'seniority_not_satisfied' END AS s2,
-    CASE WHEN NOT years_preferred AND years < min_years THEN 'years_experience_not_satisfied' END AS s3,
-    CASE restriction WHEN 'work_authorization' THEN CASE WHEN visa IS NULL THEN 'work_authorization_unknown' WHEN visa THEN 'work_authorization_not_satisfied' END
-      WHEN 'citizenship' THEN 'citizenship_eligibility_unknown' WHEN 'controlled_technology' THEN 'legal_eligibility_unknown' END AS s4,
-    CASE WHEN j.sen IS NULL THEN 0 WHEN c.sen >= j.sen THEN 1 WHEN c.sen = j.sen - 1 THEN 0.5 ELSE 0 END::DOUBLE * 0.9::DOUBLE * 0.9::DOUBLE AS seniority_raw,
+  SELECT cands.cand_key, jobs.job_key, jobs.*, cands.*, {_per_bucket("coalesce(CAST({b}_sum AS DOUBLE) / nullif(CAST({b}_all AS DOUBLE), 0), 0) AS {b}_raw")},
+    {_GATES},
+    coalesce(need, 0) - coalesce(have, 0) AS lacking,
+    CASE WHEN jobs.sen IS NULL THEN 0 WHEN cands.sen >= jobs.sen THEN 1 WHEN cands.sen = jobs.sen - 1 THEN 0.5 ELSE 0 END::DOUBLE * 0.9::DOUBLE * 0.9::DOUBLE AS seniority_raw,
     CASE WHEN min_years <= 0 THEN 0 ELSE least(1, years / min_years) END::DOUBLE * 0.9::DOUBLE * 0.9::DOUBLE AS years_raw
-  FROM jobs j CROSS JOIN cands c LEFT JOIN tot USING (job_key) LEFT JOIN hit ON hit.cand_key = c.cand_key AND hit.job_key = j.job_key
+  FROM jobs CROSS JOIN cands LEFT JOIN tot ON tot.job_key = jobs.job_key LEFT JOIN hit ON hit.cand_key = cands.cand_key AND hit.job_key = jobs.job_key
 ), p1 AS (
-  SELECT cand_key, job_key, [x for x in [r1, r2] if x is not null] AS a, [x for x in [s1, s2, s3, s4] if x is not null] AS b, {", ".join(f"round({b}_raw + 1e-10::DOUBLE, 6) AS {b}_r" for b in _WEIGHTS)} FROM p0
+  SELECT cand_key, job_key, [x for x in [r1, r2, r3, r4, r5, r6] if x is not null] AS a, list_concat([x for x in [CASE WHEN i <= lacking THEN 'required_feature_missing' END for i in range(1, 20)] if x is not null], [x for x in [s2, s3, s4, s5, s6] if x is not null]) AS b, {", ".join(f"round({b}_raw + 1e-10::DOUBLE, 6) AS {b}_r" for b in _WEIGHTS)} FROM p0
 ), p2 AS (
   SELECT *, CASE WHEN len(a) > 0 THEN 'candidate_must_have' WHEN len(b) > 0 THEN 'job_must_have' ELSE 'ranking' END AS stage FROM p1
 ), p3 AS (
@@ -89,7 +95,7 @@ _CONSTRAINTS = f"""
   SELECT DISTINCT job_key, 'required_feature' AS kind, bucket, name AS value, CAST(NULL AS INT) AS min_years FROM jf WHERE lvl = 'required'
   UNION ALL SELECT job_key, 'seniority', 'seniority', sen_name, NULL FROM jobs WHERE sen IS NOT NULL
   UNION ALL SELECT job_key, 'years_experience', 'years', NULL, min_years FROM jobs WHERE NOT years_preferred
-  UNION ALL SELECT job_key, 'restriction', 'restrictions', restriction, NULL FROM jobs WHERE restriction IS NOT NULL
+  UNION ALL SELECT job_key, 'restriction', 'restrictions', unnest([x for x in [CASE WHEN r_cit THEN 'citizenship' END, CASE WHEN r_work THEN 'work_authorization' END, CASE WHEN r_tech THEN 'controlled_technology' END] if x is not null]), NULL FROM jobs
 )
 """
 _LINKS = "links AS (SELECT event_type AS facet, 'https://jobs.example.com/' || user_id AS url, user_id, event_id, ts FROM events)"
@@ -111,18 +117,34 @@ def _hits(words: list[str], text: str) -> str:
 _SQL = {
     "match_scores": f"WITH {_EVALUATED} SELECT cand_key, job_key, stage, status, score, {', '.join(f'{b}_score' for b in _WEIGHTS)}, coalesce(reasons[1], 'none') AS first_reason FROM ev",
     "match_reasons": f"WITH {_EVALUATED}, r AS (SELECT cand_key, job_key, unnest(reasons) AS reason, generate_subscripts(reasons, 1) - 1 AS seq FROM ev) SELECT cand_key, CAST(seq AS INT) AS seq, reason, count(*) AS jobs FROM r GROUP BY ALL",
+    "match_details": f"""WITH {_EVALUATED}, s AS (SELECT p0.*, stage FROM p0 JOIN ev USING (cand_key, job_key)), d AS (
+      SELECT cand_key, stage, 'location' AS bucket, r1 AS reason, wanted AS expected, location AS actual FROM s WHERE r1 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'location', r2, location, location FROM s WHERE r2 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'workplace_type', r3, pref_w, policy_label FROM s WHERE r3 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'workplace_type', r4, policy_label, policy_label FROM s WHERE r4 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'restrictions', r5, 'citizenship', 'candidate requires visa sponsorship' FROM s WHERE r5 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'restrictions', r6, 'work_authorization', 'candidate requires visa sponsorship' FROM s WHERE r6 IS NOT NULL
+      UNION ALL SELECT s.cand_key, stage, n.bucket, 'required_feature_missing', n.name, NULL FROM s JOIN (SELECT DISTINCT job_key, bucket, name FROM items WHERE req) n ON n.job_key = s.job_key
+        LEFT JOIN cq ON cq.cand_key = s.cand_key AND cq.bucket = n.bucket AND cq.name = n.name WHERE stage = 'job_must_have' AND cq.cand_key IS NULL
+      UNION ALL SELECT cand_key, stage, 'seniority', s2, sen_name, sen_own FROM s WHERE stage = 'job_must_have' AND s2 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'years_experience', s3, CAST(min_years AS VARCHAR), CAST(years AS VARCHAR) FROM s WHERE stage = 'job_must_have' AND s3 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'restrictions', s4, 'citizenship', NULL FROM s WHERE stage = 'job_must_have' AND s4 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'restrictions', s5, 'work_authorization', CASE WHEN visa THEN 'candidate requires visa sponsorship' END FROM s WHERE stage = 'job_must_have' AND s5 IS NOT NULL
+      UNION ALL SELECT cand_key, stage, 'restrictions', s6, 'controlled_technology', NULL FROM s WHERE stage = 'job_must_have' AND s6 IS NOT NULL)
+      SELECT stage, bucket, reason, coalesce(expected, '-') AS expected, coalesce(actual, '-') AS actual, count(*) AS pairs, min(cand_key) AS first_candidate FROM d GROUP BY ALL""",
+    "only_matches": f"WITH {_EVALUATED} SELECT cand_key, job_key, score, {', '.join(f'{b}_score' for b in _WEIGHTS)} FROM ev WHERE status = 'match'",
     "rank_jobs": f"{_RANKED} SELECT cand_key, job_key, stage, status, score, CAST(place AS INT) AS place FROM ranked",
     "topk_matches": f"{_RANKED} SELECT cand_key, CAST(place AS INT) AS place, job_key, score FROM ranked WHERE status = 'match' AND place <= 3",
     "rank_summary": f"WITH {_EVALUATED} SELECT stage, status, count(*) AS pairs, count(DISTINCT cand_key) AS candidates, count(DISTINCT job_key) AS jobs, max(score) AS best FROM ev GROUP BY ALL",
     "match_explain": f"WITH {_EVALUATED} SELECT ev.cand_key, ev.job_key, i.bucket, i.pos, i.name, round(i.imp, 6) AS importance, round(q, 6) AS quality, q IS NOT NULL AS matched FROM ev JOIN items i ON i.job_key = ev.job_key AND imp > 0 LEFT JOIN cq ON cq.cand_key = ev.cand_key AND cq.bucket = i.bucket AND cq.name = i.name WHERE status = 'match'",
-    "ranking_upsert": f"WITH {_EVALUATED} SELECT cand_key, CASE WHEN stage = 'ranking' AND score >= CASE WHEN job_key % 200 = 0 THEN 0.7 ELSE 0.6 END::DOUBLE THEN 'match' ELSE 'mismatch' END AS status, count(*) AS jobs FROM ev GROUP BY ALL",
+    "ranking_upsert": f"WITH {_EVALUATED} SELECT cand_key, CASE WHEN stage = 'ranking' AND score >= CASE WHEN policy = 'hybrid' THEN 0.7 ELSE 0.6 END::DOUBLE THEN 'match' ELSE 'mismatch' END AS status, count(*) AS jobs FROM ev JOIN jobs USING (job_key) GROUP BY ALL",
     "job_constraints": f"WITH {_CONSTRAINTS} SELECT job_key, kind, bucket, count(*) AS n, min(value) AS least, min(min_years) AS min_years FROM cons GROUP BY job_key, kind, bucket",
     "derived_constraints": f"WITH {_CONSTRAINTS} SELECT kind, count(*) AS n, count(DISTINCT job_key) AS jobs FROM cons WHERE kind <> 'restriction' AND coalesce(min_years, 1) > 0 GROUP BY kind",
-    "location_gate": f"WITH {_BINDING} SELECT cand_key, CASE WHEN wanted IS NOT NULL AND NOT (contains(location, wanted) OR contains(wanted, location)) THEN 'preferred_location_not_matched' ELSE 'pass' END AS reason, count(*) AS jobs FROM jobs, cands GROUP BY ALL",
-    "workplace_gate": f"WITH {_BINDING}, r AS (SELECT cand_key, [x for x in [CASE WHEN policy <> pref_w THEN 'preferred_workplace_type_not_matched' END, CASE WHEN policy = excl_w THEN 'excluded_workplace_type_matched' END] if x is not null] AS l FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM r) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",
-    "restriction_gate": f"WITH {_BINDING} SELECT cand_key, coalesce(CASE restriction WHEN 'work_authorization' THEN CASE WHEN visa IS NULL THEN 'work_authorization_unknown' WHEN visa THEN 'work_authorization_not_satisfied' END WHEN 'citizenship' THEN 'citizenship_eligibility_unknown' WHEN 'controlled_technology' THEN 'legal_eligibility_unknown' END, 'pass') AS reason, count(*) AS jobs FROM jobs, cands GROUP BY ALL",
-    "seniority_years_gate": f"WITH {_BINDING} SELECT cand_key, CASE WHEN jobs.sen IS NOT NULL AND cands.sen < jobs.sen THEN 'seniority_not_satisfied' ELSE 'pass' END AS seniority, CASE WHEN NOT years_preferred AND cands.years < min_years THEN 'years_experience_not_satisfied' ELSE 'pass' END AS years, count(*) AS jobs FROM jobs, cands GROUP BY 1, 2, 3",
-    "required_gate": f"WITH {_BINDING}, h AS (SELECT cand_key, job_key, count(*) AS n FROM items JOIN cq USING (bucket, name) WHERE req GROUP BY ALL), d AS (SELECT job_key, count(*) AS need FROM items WHERE req GROUP BY 1) SELECT cand_key, count(*) FILTER (n = need) AS covered, count(*) AS touched FROM h JOIN d USING (job_key) GROUP BY 1",
+    "location_gate": f"WITH {_BINDING}, g AS (SELECT cand_key, {_GATES} FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM (SELECT cand_key, [x for x in [r1, r2] if x is not null] AS l FROM g)) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",
+    "workplace_gate": f"WITH {_BINDING}, g AS (SELECT cand_key, {_GATES} FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM (SELECT cand_key, [x for x in [r3, r4] if x is not null] AS l FROM g)) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",
+    "restriction_gate": f"WITH {_BINDING}, g AS (SELECT cand_key, {_GATES} FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM (SELECT cand_key, [x for x in [s4, s5, s6] if x is not null] AS l FROM g)) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",
+    "seniority_years_gate": f"WITH {_BINDING}, g AS (SELECT cand_key, {_GATES} FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM (SELECT cand_key, [x for x in [s2, s3] if x is not null] AS l FROM g)) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",
+    "required_gate": f"WITH {_BINDING}, need AS (SELECT DISTINCT job_key, bucket, name FROM items WHERE req), n AS (SELECT job_key, count(*) AS n FROM need GROUP BY 1), h AS (SELECT cand_key, job_key, count(*) AS m FROM need JOIN cq USING (bucket, name) GROUP BY ALL), ok AS (SELECT cand_key, count(*) AS k FROM h JOIN n USING (job_key) WHERE m = n GROUP BY 1), t AS (SELECT count(*) AS jobs, (SELECT count(*) FROM n) AS asking FROM jobs) SELECT cand_key, coalesce(k, 0) + jobs - asking AS covered, asking - coalesce(k, 0) AS not_covered FROM cands CROSS JOIN t LEFT JOIN ok USING (cand_key)",
     "normalize_texts": f"SELECT conv_id, turn, {_NORM.format('text')} AS text, lower({_NORM.format('role')}) AS role FROM conversations",
     "normalize_dedupe": "SELECT p_partkey, array_to_string([x for x in [p_name, CASE WHEN lower(p_type) <> lower(p_name) THEN p_type END, CASE WHEN lower(p_brand) NOT IN (lower(p_name), lower(p_type)) THEN p_brand END] if x is not null], '|') AS names FROM part",
     "job_identity": r"SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'job') || '__' || substr(sha1(url), 1, 10) AS job_id FROM pages",
@@ -137,7 +159,7 @@ _SQL = {
     "experience_hours": f"WITH {_SENTENCE} SELECT o_orderkey, CAST(CASE WHEN m < 4 THEN a END AS INT) AS years_low, CAST(CASE m WHEN 0 THEN b WHEN 3 THEN a END AS INT) AS years_high, CAST(CASE h WHEN 0 THEN 32 WHEN 1 THEN 40 END AS INT) AS hours_low, CAST(CASE h WHEN 0 THEN o_orderkey % 9 + 33 WHEN 1 THEN 40 END AS INT) AS hours_high FROM s",
     "degrees_domains": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Master|Bachelor' WHEN 1 THEN 'PhD|Secondary vocational education' ELSE 'Bachelor' END AS degrees,
       CASE WHEN p_size % 3 = 0 THEN 'Medical' || CASE WHEN p_partkey % 4 < 3 THEN '|' ELSE '' END ELSE '' END || CASE p_partkey % 4 WHEN 0 THEN 'High-tech|Semiconductor' WHEN 1 THEN 'Analytical|Defense' WHEN 2 THEN 'Energy|Aerospace' ELSE '' END AS domains FROM part""",
-    "recruiter_contact": rf"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS s FROM documents), e AS (SELECT doc_id, s, nullif(regexp_extract(s, '[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b'), '') AS email FROM t),
+    "recruiter_contact": rf"""WITH t AS (SELECT doc_id, {_NORM.format('text')} AS s FROM documents), e AS (SELECT doc_id, s, nullif(regexp_extract(s, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b'), '') AS email FROM t),
       w AS (SELECT *, instr(s, email) AS p FROM e WHERE email IS NOT NULL)
       SELECT doc_id, email, nullif(regexp_extract(trim(substr(s, greatest(1, p - 240), p + length(email) - greatest(1, p - 240))), '\+\d[\d ()-]{{6,}}\d'), '') AS phone FROM w""",
     "restriction_class": "SELECT o_orderkey, (['citizenship', 'controlled_technology', 'controlled_technology', 'work_authorization', 'restriction', 'restriction'])[o_orderkey % 6 + 1] AS restriction, (['required', 'required', 'required', 'preferred', 'required', 'unknown'])[o_orderkey % 6 + 1] AS level FROM orders",

@@ -20,12 +20,12 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return B.candidates(spark, sf_dir), B.candidate_features(spark, sf_dir), B.jobs(spark, sf_dir), B.job_features(spark, sf_dir)
 
 
-def _evaluated(spark: SparkSession, sf_dir: str, threshold: float = 0.6) -> DataFrame:
-    return match.evaluate(*_inputs(spark, sf_dir), threshold)
+def _evaluated(spark: SparkSession, sf_dir: str, listed: bool = True) -> DataFrame:
+    return match.evaluate(*_inputs(spark, sf_dir), listed=listed)
 
 
 def match_scores(spark, sf_dir):
-    return _evaluated(spark, sf_dir).withColumn("first_reason", F.coalesce(F.get("reasons", F.lit(0)), F.lit("none"))).drop("reasons")
+    return _evaluated(spark, sf_dir).withColumn("first_reason", F.coalesce(F.get("reasons", F.lit(0)), F.lit("none"))).drop("reasons", "details")
 
 
 def match_reasons(spark, sf_dir):
@@ -33,27 +33,40 @@ def match_reasons(spark, sf_dir):
     return rows.groupBy("cand_key", "seq", "reason").agg(F.count("*").alias("jobs"))
 
 
+def match_details(spark, sf_dir):
+    """What every gate expected and found, one row for each difference."""
+    rows = _evaluated(spark, sf_dir).select("cand_key", "stage", F.explode("details").alias("d")).select("cand_key", "stage", "d.*")
+    none = F.lit("-")
+    return rows.groupBy("stage", "bucket", "reason", F.coalesce("expected", none).alias("expected"), F.coalesce("actual", none).alias("actual")).agg(F.count("*").alias("pairs"), F.min("cand_key").alias("first_candidate"))
+
+
 def rank_jobs(spark, sf_dir):
-    return match.ranked_jobs(_evaluated(spark, sf_dir)).select("cand_key", "job_key", "stage", "status", "score", "place")
+    return match.ranked_jobs(_evaluated(spark, sf_dir, False)).select("cand_key", "job_key", "stage", "status", "score", "place")
 
 
 def topk_matches(spark, sf_dir):
-    return match.top_matches(_evaluated(spark, sf_dir), 3).select("cand_key", "place", "job_key", "score")
+    return match.top_matches(match.matches(*_inputs(spark, sf_dir)), 3).select("cand_key", "place", "job_key", "score")
+
+
+def only_matches(spark, sf_dir):
+    """Every match with its scores, in the form that needs no product of candidates and vacancies."""
+    return match.matches(*_inputs(spark, sf_dir)).drop("stage", "status")
 
 
 def rank_summary(spark, sf_dir):
-    return _evaluated(spark, sf_dir).groupBy("stage", "status").agg(F.count("*").alias("pairs"), F.count_distinct("cand_key").alias("candidates"), F.count_distinct("job_key").alias("jobs"), F.max("score").alias("best"))
+    return _evaluated(spark, sf_dir, False).groupBy("stage", "status").agg(F.count("*").alias("pairs"), F.count_distinct("cand_key").alias("candidates"), F.count_distinct("job_key").alias("jobs"), F.max("score").alias("best"))
 
 
 def match_explain(spark, sf_dir):
     _, cf, _, jf = _inputs(spark, sf_dir)
-    evaluated = _evaluated(spark, sf_dir).where("status = 'match'")
-    return match.explained(evaluated, cf, jf)
+    return match.explained(match.matches(*_inputs(spark, sf_dir)), cf, jf)
 
 
 def ranking_upsert(spark, sf_dir):
-    """Rankings at 0.6, then the vacancies of even hundreds anew at 0.7."""
-    old, new = _evaluated(spark, sf_dir, 0.6), _evaluated(spark, sf_dir, 0.7).where("job_key % 200 = 0")
+    """Rankings at 0.6, then the hybrid vacancies anew at 0.7."""
+    c, cf, jobs, jf = _inputs(spark, sf_dir)
+    hybrid = jobs.where("remote_policy = 'Hybrid'")
+    old, new = match.evaluate(c, cf, jobs, jf, 0.6, False), match.evaluate(c, cf, hybrid, jf, 0.7, False)
     return publish.upserted(old, new, ["cand_key", "job_key"]).groupBy("cand_key", "status").agg(F.count("*").alias("jobs"))
 
 
@@ -65,35 +78,40 @@ def derived_constraints(spark, sf_dir):
     return match.job_constraints(B.jobs(spark, sf_dir), B.job_features(spark, sf_dir), stored=False).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("job_key").alias("jobs"))
 
 
-def _pair_rows(spark, sf_dir):
-    return match.pairs(B.candidates(spark, sf_dir), B.jobs(spark, sf_dir))
+def _gate(spark, sf_dir, read: list[str], reasons):
+    """(cand_key, reason, jobs) of a gate that reads only the columns `read` of vacancies: these are counted by their values before candidates meet them."""
+    kinds = match.job_attributes(B.jobs(spark, sf_dir)).groupBy(*read).agg(F.count("*").alias("n"))
+    c = match.candidate_attributes(B.candidates(spark, sf_dir))
+    rows = kinds.crossJoin(F.broadcast(c) if c.count() <= match.BROADCAST_CANDIDATES else c).select("cand_key", "n", F.explode_outer(reasons).alias("r"))
+    return rows.groupBy("cand_key", F.coalesce("r.reason", F.lit("pass")).alias("reason")).agg(F.sum("n").alias("jobs"))
 
 
 def location_gate(spark, sf_dir):
-    return _pair_rows(spark, sf_dir).withColumn("reason", F.coalesce(match.location_reason(), F.lit("pass"))).groupBy("cand_key", "reason").agg(F.count("*").alias("jobs"))
+    return _gate(spark, sf_dir, ["j_location"], F.array_compact(F.array(*match.location_reasons())))
 
 
 def workplace_gate(spark, sf_dir):
-    rows = _pair_rows(spark, sf_dir).select("cand_key", F.explode_outer(match.workplace_reasons()).alias("reason"))
-    return rows.groupBy("cand_key", F.coalesce("reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("jobs"))
+    return _gate(spark, sf_dir, ["j_workplace"], F.array_compact(F.array(*match.workplace_reasons())))
 
 
 def restriction_gate(spark, sf_dir):
-    return _pair_rows(spark, sf_dir).withColumn("reason", F.coalesce(match.restriction_reason(), F.lit("pass"))).groupBy("cand_key", "reason").agg(F.count("*").alias("jobs"))
+    return _gate(spark, sf_dir, ["j_restrictions"], match.restriction_reasons())
 
 
 def seniority_years_gate(spark, sf_dir):
-    rows = _pair_rows(spark, sf_dir).select("cand_key", F.coalesce(match.seniority_reason(), F.lit("pass")).alias("seniority"), F.coalesce(match.years_reason(), F.lit("pass")).alias("years"))
-    return rows.groupBy("cand_key", "seniority", "years").agg(F.count("*").alias("jobs"))
+    return _gate(spark, sf_dir, ["j_seniority", "j_min_years", "j_years_level"], F.array_compact(F.array(match.seniority_reason(), match.years_reason())))
 
 
 def required_gate(spark, sf_dir):
-    """How many vacancies have all required features covered, by candidate: relational division on counts."""
-    _, cf, _, jf = _inputs(spark, sf_dir)
-    items = match.job_items(jf).where("required")
-    have = items.join(match.candidate_index(cf), ["bucket", "name"]).groupBy("cand_key", "job_key").agg(F.count("*").alias("n"))
-    need = items.groupBy("job_key").agg(F.count("*").alias("need"))
-    return have.join(need, "job_key").groupBy("cand_key").agg(F.count_if(F.col("n") == F.col("need")).alias("covered"), F.count("*").alias("touched"))
+    """How many vacancies have all required features covered, by candidate; those without any are covered by all."""
+    c, cf, jobs, jf = _inputs(spark, sf_dir)
+    items = match.job_items(jf)
+    asking = items.where("required").select("job_key").distinct()
+    totals = jobs.agg(F.count("*").alias("all_jobs")).crossJoin(asking.agg(F.count("*").alias("asking")))
+    found = match.covered_pairs(match.candidate_index(cf), items).groupBy("cand_key").agg(F.count("*").alias("n"))
+    rows = c.select("cand_key").join(found, "cand_key", "left").crossJoin(F.broadcast(totals))
+    covered = F.coalesce("n", F.lit(0)) + F.col("all_jobs") - F.col("asking")
+    return rows.select("cand_key", covered.alias("covered"), (F.col("all_jobs") - covered).alias("not_covered"))
 
 
 def normalize_texts(spark, sf_dir):
@@ -184,7 +202,9 @@ def facet_completeness(spark, sf_dir):
 
 
 def collection_limit(spark, sf_dir):
-    facets = _links(spark, sf_dir).withColumn("facet_no", F.dense_rank().over(Window.orderBy("facet")))
+    links = _links(spark, sf_dir)
+    numbers = links.select("facet").distinct().withColumn("facet_no", F.row_number().over(Window.orderBy("facet")))  # the names alone, in one task
+    facets = links.join(numbers.hint("merge"), "facet")
     return collect.limited_links(facets.withColumnRenamed("event_id", "page_order"), 40).select("url", F.array_join("disciplines", "|").alias("disciplines"))
 
 
@@ -264,7 +284,7 @@ def keyword_filter(spark, sf_dir):
 
 
 _ALL = (
-    match_scores, match_reasons, rank_jobs, topk_matches, rank_summary, match_explain, ranking_upsert, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
+    match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, ranking_upsert, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
     normalize_texts, normalize_dedupe, job_identity, content_hash_reuse, confidence_cleaning, workplace_policy, page_fields, experience_hours, degrees_domains, recruiter_contact, restriction_class, link_harvest, discipline_map,
     facet_completeness, collection_limit, collection_validation, page_new_links, merge_job_features, merge_candidate_features, merge_restrictions, merge_languages, validate_payloads, snapshot_diff, new_fields, field_change_freq, keyword_filter,
 )
