@@ -197,9 +197,11 @@ def covered_pairs(index: DataFrame, items: DataFrame) -> DataFrame:
     asked = items.where("required").select("job_key", "bucket", "name").distinct()
     holders = index.groupBy("bucket", "name").agg(F.count("*").alias("holders"))
     rarest = asked.join(holders, ["bucket", "name"], "left").groupBy("job_key").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "bucket", "name")).alias("r"), F.count("*").alias("asked"))
-    begun = rarest.where("r.holders > 0").select("job_key", "r.bucket", "r.name").join(index.select("cand_key", "bucket", "name"), ["bucket", "name"]).select("cand_key", "job_key")
-    met = begun.join(asked, "job_key").join(index.select("cand_key", "bucket", "name"), ["cand_key", "bucket", "name"]).groupBy("cand_key", "job_key").agg(F.count("*").alias("met"))
-    return met.join(rarest.select("job_key", "asked"), "job_key").where("met = asked").select("cand_key", "job_key")
+    held = index.select("cand_key", "bucket", "name")
+    begun = rarest.where("r.holders > 0").select("job_key", "asked", "r.bucket", "r.name").join(held, ["bucket", "name"]).select("cand_key", "job_key", "asked")
+    others = asked.join(rarest.select("job_key", "r.bucket", "r.name"), ["job_key", "bucket", "name"], "left_anti")
+    met = begun.where("asked > 1").join(others, "job_key").join(held, ["cand_key", "bucket", "name"]).groupBy("cand_key", "job_key").agg(F.count("*").alias("met"), F.first("asked").alias("asked"))
+    return begun.where("asked = 1").select("cand_key", "job_key").union(met.where("met = asked - 1").select("cand_key", "job_key"))
 
 
 def job_totals(items: DataFrame) -> DataFrame:
@@ -296,9 +298,10 @@ def matches(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, jo
     keys = items.where(F.col("bucket").isin(buckets)).join(index, ["bucket", "name"]).select("cand_key", "job_key").distinct()
     c = candidate_attributes(candidates)
     c = F.broadcast(c) if candidates.count() <= BROADCAST_CANDIDATES else c.hint("merge")
-    passed = keys.join(job_attributes(jobs), "job_key").join(c, "cand_key").where(F.size(candidate_gate()) == 0)
-    attributes_allow = seniority_reason().isNull() & years_reason().isNull() & (F.size(restriction_reasons()) == 0)
-    passed = passed.where(attributes_allow)
+    # The cheapest conditions first: single columns, then those that look through lists.
+    plain = seniority_reason().isNull() & years_reason().isNull()
+    lists = ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0)) & (F.size(candidate_gate()) == 0)
+    passed = keys.join(job_attributes(jobs), "job_key").join(c, "cand_key").where(plain & lists)
     return _second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, False), job_totals(items), threshold, False).where("status = 'match'")
 
 
