@@ -55,7 +55,9 @@ def content_hash(text: Column) -> Column:
 
 
 def candidate_id(text: Column, explicit: Column) -> Column:
-    return F.coalesce(normalized(explicit), F.concat(F.lit("candidate_"), F.substring(content_hash(text), 1, 12)))
+    """The explicit id, normalised, a blank one being an error; without one, twelve hex digits of the text's hash."""
+    own = normalized(explicit)
+    return F.when(own == "", F.raise_error(F.lit("candidate_id must not be blank"))).otherwise(F.coalesce(own, F.concat(F.lit("candidate_"), F.substring(content_hash(text), 1, 12))))
 
 
 def file_key(s: Column, default: str | None = None) -> Column:
@@ -65,9 +67,9 @@ def file_key(s: Column, default: str | None = None) -> Column:
 
 
 def ranking_key(candidate: Column, job: Column) -> Column:
-    """`candidate_job`; null if either is blank."""
+    """`candidate_job`; a blank or missing id is an error."""
     c, j = F.nullif(F.trim(candidate), F.lit("")), F.nullif(F.trim(job), F.lit(""))
-    return F.when(c.isNotNull() & j.isNotNull(), F.concat_ws("_", c, j))
+    return F.when(c.isNotNull() & j.isNotNull(), F.concat_ws("_", c, j)).otherwise(F.raise_error(F.lit("candidate_id and job_id must not be blank")))
 
 
 def parsed_confidence(text: Column) -> Column:

@@ -66,6 +66,17 @@ def limited_links(links: DataFrame, limit: int) -> DataFrame:
     return discipline_map(taken)
 
 
+def unfiltered_links(links: DataFrame) -> DataFrame:
+    """The distinct urls of an unfiltered listing in order."""
+    return links.select("url").distinct().orderBy("url")
+
+
+def retrieved_links(faceted: DataFrame, unfiltered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((url, disciplines) of all links of both listings, the report that compares them). Links without a facet have no disciplines."""
+    every = faceted.select("url").union(unfiltered.select("url")).distinct()
+    return with_disciplines(every, discipline_map(faceted)), collection_report(faceted, unfiltered)
+
+
 def first_links(links: DataFrame, limit: int) -> DataFrame:
     """The other mode of a limit: simply the first `limit` distinct urls in facet and page order."""
     first = links.groupBy("url").agg(F.min(F.struct("facet_no", "page_order")).alias("at"))

@@ -329,3 +329,19 @@ def summary_lines(ranked: DataFrame) -> DataFrame:
     """One line of text for each row: stage, status, score and first reason."""
     line = F.format_string("#%d job %d: %s at %s, score %.3f, %s", "place", "job_key", "status", "stage", "score", F.coalesce(F.get("reasons", F.lit(0)), F.lit("none")))
     return ranked.select("cand_key", "place", "job_key", line.alias("line"))
+
+
+def skip_explanations(evaluated: DataFrame, threshold: float = W.MATCH_THRESHOLD) -> DataFrame:
+    """(cand_key, job_key, line) for every pair of `evaluated` that is no match: its score below the threshold, or the stage and the first reason."""
+    below = F.format_string("score=%.3f < %.3f", F.coalesce("score", F.lit(0.0)), F.lit(threshold))
+    gated = F.concat(F.lit("stage="), "stage", F.lit(" | reason="), F.coalesce(F.get("reasons", F.lit(0)), F.lit("unknown")))
+    return evaluated.where("status <> 'match'").select("cand_key", "job_key", F.when(F.col("stage") == "ranking", below).otherwise(gated).alias("line"))
+
+
+def first_jobs(jobs: DataFrame, limit: int | None, key: str = "job_key") -> DataFrame:
+    """The first `limit` vacancies by key, all without a limit; a limit under 1 is an error. The order is by key, so the choice does not depend on partitions."""
+    if limit is None:
+        return jobs
+    if limit < 1:
+        raise ValueError("the limit of vacancies must be 1 or more")
+    return jobs.orderBy(key).limit(limit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import weights as W
-from rolefit.functions.text import deduped_texts, name_or_empty, parsed_confidence
+from rolefit.functions.text import deduped_texts, name_or_empty, parsed_confidence, workplace_type
 
 _RANKS = {"requirement": {"preferred": 0, "required": 1}, "strength": {"exposure": 0, "secondary": 1, "strong": 2, "core": 3}}
 
@@ -23,17 +25,31 @@ def merged_features(items: DataFrame, keys: list[str], level: str) -> DataFrame:
 
 
 def merged_restrictions(items: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key and normalised value: the highest confidence and the first place."""
+    """One row for each key and normalised value: the highest confidence and the first place, and all evidence in order where `items` has it."""
     named = items.withColumn("value", name_or_empty(F.col("value"))).where("value <> ''")
-    return named.groupBy(*keys, "value").agg(F.max("confidence").alias("confidence"), F.min("pos").alias("pos"))
+    merged = named.groupBy(*keys, "value").agg(F.max("confidence").alias("confidence"), F.min("pos").alias("pos"), *_evidence(items))
+    return merged.select(*keys, "value", "confidence", "pos", *_united(items))
+
+
+def _evidence(items: DataFrame) -> list[Column]:
+    """The evidence of a group with its places; nothing where the items have none."""
+    return [F.sort_array(F.collect_list(F.struct("pos", "evidence"))).alias("_e")] if "evidence" in items.columns else []
+
+
+def _united(items: DataFrame) -> list[Column]:
+    """The texts of `_evidence`, each once, in order."""
+    if "evidence" not in items.columns:
+        return []
+    return [deduped_texts(F.flatten(F.transform("_e", lambda x: F.coalesce(x.evidence, F.array().cast("array<string>"))))).alias("evidence")]
 
 
 def merged_languages(items: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key and name by a fold in order: a strictly more confident item replaces the level if it has one; a missing level is filled
-    by the next; the confidence is the highest so far. The order matters, so the items of a name are folded in their places.
+    by the next; the confidence is the highest so far. The order matters, so the items of a name are folded in their places. Evidence, where
+    `items` has it, is united.
     """
     named = items.withColumn("name", name_or_empty(F.col("name"))).where("name <> ''")
-    lists = named.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(F.struct("pos", "level", "confidence"))).alias("all"))
+    lists = named.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(F.struct("pos", "level", "confidence"))).alias("all"), *_evidence(items))
 
     def step(state, x):
         level = F.when(x.confidence > state.confidence, F.coalesce(x.level, state.level)).otherwise(F.coalesce(state.level, x.level))
@@ -41,36 +57,136 @@ def merged_languages(items: DataFrame, keys: list[str]) -> DataFrame:
 
     start = F.struct(F.get("all", F.lit(0)).level.alias("level"), F.get("all", F.lit(0)).confidence.alias("confidence"))
     folded = F.aggregate(F.slice("all", F.lit(2), F.size("all")), start, step)
-    return lists.select(*keys, "name", folded.level.alias("level"), folded.confidence.alias("confidence"), F.get("all", F.lit(0)).pos.alias("pos"))
+    return lists.select(*keys, "name", folded.level.alias("level"), folded.confidence.alias("confidence"), F.get("all", F.lit(0)).pos.alias("pos"), *_united(items))
+
+
+def _backed(item: Column) -> Column:
+    """A confidence in [0, 1] and some evidence."""
+    return parsed_confidence(item.confidence).isNotNull() & (F.coalesce(F.size(deduped_texts(item.evidence)), F.lit(0)) > 0)
 
 
 def valid_item(item: Column, levels: dict[str, object], level_field: str) -> Column:
     """A name, a known level, a confidence in [0, 1] and some evidence."""
-    return F.coalesce(
-        (name_or_empty(item["name"]) != "") & F.lower(F.trim(item[level_field])).isin(*levels) & parsed_confidence(item.confidence).isNotNull() & (F.size(deduped_texts(item.evidence)) > 0), F.lit(False)
-    )
+    return F.coalesce((name_or_empty(item["name"]) != "") & F.lower(F.trim(item[level_field])).isin(*levels) & _backed(item), F.lit(False))
+
+
+def valid_restriction(item: Column) -> Column:
+    """A value that is not blank, a confidence in [0, 1] and some evidence."""
+    return F.coalesce((name_or_empty(item.value) != "") & _backed(item), F.lit(False))
+
+
+def valid_language(item: Column) -> Column:
+    """A name, a known level or none, a confidence in [0, 1] and some evidence."""
+    level = name_or_empty(item.level)
+    return F.coalesce((name_or_empty(item["name"]) != "") & ((level == "") | level.isin(*W.LANGUAGE_LEVEL)) & _backed(item), F.lit(False))
+
+
+def valid_seniority(item: Column) -> Column:
+    """A known value with evidence, or none; a confidence in [0, 1] either way. No item at all is not valid."""
+    value = name_or_empty(item.value)
+    return F.coalesce(item.isNotNull() & parsed_confidence(item.confidence).isNotNull() & ((value == "") | (value.isin(*W.SENIORITY) & _backed(item))), F.lit(False))
+
+
+def valid_years(item: Column) -> Column:
+    """A whole number of 0 or more with evidence, or none; a confidence in [0, 1] either way. No item at all is not valid."""
+    number = item.value.try_cast("int")
+    return F.coalesce(item.isNotNull() & parsed_confidence(item.confidence).isNotNull() & (item.value.isNull() | ((number >= 0) & _backed(item))), F.lit(False))
+
+
+def cleaned_constraints(item: Column) -> Column:
+    """A candidate's constraints with normalised lists, each text once whatever its case, and workplace labels by their kind."""
+    none = F.array().cast("array<string>")
 
+    def texts(values: Column) -> Column:
+        return deduped_texts(F.coalesce(values, none))
 
-_FEATURE = "array<struct<name:string,requirement_level:string,confidence:string,evidence:array<string>>>"
-PAYLOAD_FIELDS = ("skills", "languages", "protocols", "standards", "domains", "restrictions", "seniority")
+    def workplaces(values: Column) -> Column:
+        return texts(F.filter(F.transform(F.coalesce(values, none), workplace_type), lambda x: F.coalesce(x, F.lit("")) != ""))
+
+    return F.struct(
+        texts(item.preferred_locations).alias("preferred_locations"), texts(item.excluded_locations).alias("excluded_locations"),
+        workplaces(item.preferred_workplace_types).alias("preferred_workplace_types"), workplaces(item.excluded_workplace_types).alias("excluded_workplace_types"),
+        item.requires_visa_sponsorship.alias("requires_visa_sponsorship"), item.avoid_export_control_roles.alias("avoid_export_control_roles"), texts(item.notes).alias("notes"),
+        item.confidence.alias("confidence"), texts(item.evidence).alias("evidence"),
+    )
+
+
+def valid_constraints(item: Column) -> Column:
+    """A confidence in [0, 1], and evidence where any constraint is set. `item` is what `cleaned_constraints` returns; no item at all is not valid."""
+    lists = ("preferred_locations", "excluded_locations", "preferred_workplace_types", "excluded_workplace_types", "notes")
+    stated = item.requires_visa_sponsorship.isNotNull() | item.avoid_export_control_roles.isNotNull()
+    for name in lists:
+        stated = stated | (F.size(item[name]) > 0)
+    return F.coalesce(parsed_confidence(item.confidence).isNotNull() & (~stated | (F.size(item.evidence) > 0)), F.lit(False))
+
+
+PAYLOAD_FIELDS = (*W.FEATURE_BUCKETS, "restrictions", "seniority")
+PROFILE_FIELDS = (*W.FEATURE_BUCKETS, "seniority", "years_experience_total", "candidate_constraints")
+_VALUE_FIELDS = ("value", "confidence", "evidence")
+_CONSTRAINT_FIELDS = (
+    "preferred_locations", "excluded_locations", "preferred_workplace_types", "excluded_workplace_types", "requires_visa_sponsorship", "avoid_export_control_roles", "notes", "confidence", "evidence",
+)
+
+
+def _struct_of(fields: tuple[str, ...]) -> str:
+    types = dict.fromkeys(("evidence", "notes", *_CONSTRAINT_FIELDS[:4]), "array<string>") | dict.fromkeys(_CONSTRAINT_FIELDS[4:6], "boolean")
+    return "struct<" + ",".join(f"{f}:{types.get(f, 'string')}" for f in fields) + ">"
+
+
+def _same_keys(keys: Column, fields: tuple[str, ...]) -> Column:
+    expected = F.array(*(F.lit(f) for f in fields))
+    return (F.size(F.array_except(keys, expected)) == 0) & (F.size(F.array_except(expected, keys)) == 0)
+
+
+def _closed_to(fields: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda m: _same_keys(F.map_keys(m), fields)
+
+
+def _checked(payloads: DataFrame, lists: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]], items: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]]) -> DataFrame:
+    """Adds `error`; `lists` and `items` give the fields and the rule of each list of items and each single item."""
+    names = (*lists, *items)
+    fields = F.from_json("payload", "map<string,string>")
+    schema = ", ".join([f"{k} array<{_struct_of(f)}>" for k, (f, _) in lists.items()] + [f"{k} {_struct_of(f)}" for k, (f, _) in items.items()])
+    parsed = payloads.withColumn("_m", fields).withColumn("_p", F.from_json("payload", schema))
+    keys, expected = F.map_keys("_m"), F.array(*(F.lit(k) for k in names))
+    closed, valid = F.lit(True), F.lit(True)
+    for k, (of, rule) in lists.items():
+        own = F.from_json(F.try_element_at("_m", F.lit(k)), "array<map<string,string>>")
+        closed = closed & F.coalesce(F.forall(own, _closed_to(of)), F.lit(False))
+        valid = valid & F.coalesce(F.forall(F.col("_p")[k], rule), F.lit(False))
+    for k, (of, rule) in items.items():
+        own = F.from_json(F.try_element_at("_m", F.lit(k)), "map<string,string>")
+        closed = closed & F.coalesce(_same_keys(F.map_keys(own), of), F.lit(False))
+        valid = valid & rule(F.col("_p")[k])
+    error = (
+        F.when(keys.isNull(), "bad_json").when(F.size(F.array_except(expected, keys)) > 0, "missing_fields").when(F.size(F.array_except(keys, expected)) > 0, "unknown_fields")
+        .when(~closed, "item_fields").when(~valid, "invalid_item")
+    )
+    return parsed.withColumn("error", error).drop("_p", "_m")
+
+
+_FEATURE_FIELDS = ("name", "requirement_level", "confidence", "evidence")
 
 
 def checked_payloads(payloads: DataFrame) -> DataFrame:
-    """Adds `error` to `payloads` (job_id, payload): null, or bad_json, missing_fields, unknown_fields, invalid_item.
+    """Adds `error` to `payloads` (job_id, payload): null, or bad_json, missing_fields, unknown_fields, item_fields, invalid_item.
 
-    The schema is closed: keys are compared with the expected ones both ways. Bad records are marked, never raised, so others go on.
+    The schema is closed, that of the items too: keys are compared with the expected ones both ways. Bad records are marked, never raised, so
+    others go on. A list or item that is null is of wrong fields.
     """
-    keys = F.map_keys(F.from_json("payload", "map<string,string>"))
-    expected = F.array(*(F.lit(k) for k in PAYLOAD_FIELDS))
-    fields = ", ".join(f"{k} {_FEATURE}" for k in PAYLOAD_FIELDS[:5])
-    parsed = payloads.withColumn("_p", F.from_json("payload", fields))
-    wrong = F.lit(False)
-    for k in PAYLOAD_FIELDS[:5]:
-        wrong = wrong | ~F.coalesce(F.forall(F.col("_p")[k], lambda x: valid_item(x, W.REQUIREMENT, "requirement_level")), F.lit(True))
-    error = (
-        F.when(keys.isNull(), "bad_json").when(F.size(F.array_except(expected, keys)) > 0, "missing_fields").when(F.size(F.array_except(keys, expected)) > 0, "unknown_fields").when(wrong, "invalid_item")
-    )
-    return parsed.withColumn("error", error).drop("_p")
+    features = (_FEATURE_FIELDS, lambda x: valid_item(x, W.REQUIREMENT, "requirement_level"))
+    return _checked(payloads, dict.fromkeys(W.FEATURE_BUCKETS, features) | {"restrictions": (_VALUE_FIELDS, valid_restriction)}, {"seniority": (_VALUE_FIELDS, valid_seniority)})
+
+
+def checked_profiles(profiles: DataFrame) -> DataFrame:
+    """Adds `error` to `profiles` (candidate_id, payload), with the errors of `checked_payloads`."""
+    features = (("name", "strength", "confidence", "evidence"), lambda x: valid_item(x, W.STRENGTH, "strength"))
+    lists = dict.fromkeys(W.FEATURE_BUCKETS, features) | {"languages": (("name", "level", "confidence", "evidence"), valid_language)}
+    items = {
+        "seniority": (_VALUE_FIELDS, valid_seniority), "years_experience_total": (_VALUE_FIELDS, valid_years),
+        "candidate_constraints": (_CONSTRAINT_FIELDS, lambda x: valid_constraints(cleaned_constraints(x))),
+    }
+    return _checked(profiles, lists, items)
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolefit.functions.text import job_id
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,3 +58,36 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "0.9D as seniority_confidence", "cast(s_suppkey % 12 as int) as years", "0.9D as years_confidence",
         "case s_suppkey % 3 when 0 then 'Remote' when 1 then 'Hybrid' end as preferred_workplace", "case s_suppkey % 5 when 0 then 'On-site' when 1 then 'Remote' end as excluded_workplace",
     )
+
+
+def vacancy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a vacancy page: (page_id, url, host, title, disciplines, html), with tags, JSON-LD and labels before the page's own markup."""
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    tags = """concat('<div class="job-tags-wrapper">', if(page_id % 3 <> 0, concat('<span class="job-tag" data-type=" Location "><i></i><span class="job-tag-value"> ', host, ' </span></span>'), ''),
+      if(page_id % 4 = 0, '<span class="tag job-tag" title="Education  Level"><span class="job-tag-value">Master</span></span>', ''),
+      if(page_id % 5 = 0, '<b class="job-tag" title="Employment"><i class="job-tag-value">Part time</i></b><b class="job-tag" title="employment"><i class="job-tag-value">Full  time</i></b>', ''), '</div>')"""
+    ld = """if(page_id % 7 = 0, '', concat('<script type="application/ld+json">{bad</script>', if(page_id % 7 = 1, '', concat('<script type="application/ld+json">[{"@type":"Thing"},{"@type":" jobposting",
+      "jobLocation":{"address":{"addressLocality":"Site ', page_id % 13, '","addressCountry":"NL"}},"employmentType":"FULL_TIME"}]</script>'))))"""
+    labels = """concat('<ul>', if(page_id % 2 = 0, concat('<li><span>Work experience</span><span>: ', page_id % 9 + 1, ' - ', page_id % 9 + 3, ' years</span></li>'), ''),
+      if(page_id % 6 = 1, concat('<li><b>Team</b> <i>Team ', host, '</i></li>'), ''), '</ul>')"""
+    main = """concat('<main><p>', host, ' builds systems for the semiconductor and medical industries. A Bachelor degree is asked for.</p><p>We offer ', page_id % 9 + 24, '-40 hours per week with room to work from home.</p>',
+      '<p>From our office and at our clients\\' sites, you will work on challenging projects in the North region for all that we do there.</p></main>')"""
+    rows = table(spark, sf_dir, "pages").withColumn("host", host)
+    head = F.concat(F.lit("<body><h1>Vacancy "), F.col("page_id").cast("string"), F.lit("</h1>"), F.expr(tags), F.expr(ld), F.expr(labels), F.expr(main))
+    return rows.select("page_id", "url", "host", F.lit(None).cast("string").alias("title"), F.array(F.lit("software"), F.lit("ai")).alias("disciplines"), F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+def vacancy_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, payload): what was extracted for the vacancy page of the same number as a document, from the document's columns."""
+
+    def item(name: str, level: str) -> str:
+        return f"named_struct('name', {name}, 'requirement_level', {level}, 'confidence', '0.75', 'evidence', array(lang))"
+
+    none = "cast(array() as array<struct<name:string>>)"
+    payload = f"""to_json(named_struct('skills', array({item("concat('  ', source)", "'preferred'")}, {item("upper(source)", "if(doc_id % 2 = 1, 'required', 'preferred')")}),
+      'languages', array({item("lang", "if(doc_id % 3 = 0, 'required', 'preferred')")}), 'protocols', {none}, 'standards', {none}, 'domains', {none},
+      'restrictions', if(doc_id % 5 = 0, array(named_struct('value', 'EU citizens', 'confidence', '1', 'evidence', array('e')), named_struct('value', 'nationality', 'confidence', '1', 'evidence', array('e'))), array()),
+      'seniority', named_struct('value', if(doc_id % 4 = 0, ' Senior', null), 'confidence', '0.5', 'evidence', array('e'))))"""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    pages = table(spark, sf_dir, "pages").select("page_id", job_id(F.concat(F.lit("Vacancy "), F.col("page_id").cast("string")), F.col("url")).alias("job_id"))
+    return pages.join(documents, pages.page_id == documents.doc_id).select("job_id", F.expr(payload).alias("payload"))

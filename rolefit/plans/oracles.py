@@ -110,6 +110,16 @@ n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatu
 """
 
 
+_PAGES = r"""
+pg AS (SELECT page_id AS m, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, 'vacancy_' || page_id || '__' || substr(sha1(url), 1, 10) AS job_id FROM pages)
+"""
+_CONSTRAINED = f"""
+{_PAGES}, dc AS (SELECT job_id, m, lower(coalesce(source, 'none')) AS source, lower(coalesce(lang, 'none')) AS lang FROM pg JOIN documents ON doc_id = m), cs AS (
+  SELECT *, CASE WHEN m % 2 = 1 THEN 'feature:' || source END AS c1, CASE WHEN m % 3 = 0 THEN 'feature:' || lang END AS c2, CASE WHEN m % 4 = 0 THEN 'seniority:senior' END AS c3,
+    CASE WHEN m % 2 = 0 THEN 'years_experience:' || (m % 9 + 1) END AS c4, CASE WHEN m % 5 = 0 THEN 'restriction:citizenship' END AS c5 FROM dc)
+"""
+
+
 def _hits(words: list[str], text: str) -> str:
     return "[x for x in [" + ", ".join(f"CASE WHEN regexp_matches(lower({text}), '(^|[^\\pL\\pM\\pN_]){w}([^\\pL\\pM\\pN_]|$)') THEN '{w}' END" for w in words) + "] if x is not null]"
 
@@ -195,6 +205,28 @@ _SQL = {
       r AS (SELECT *, CASE WHEN len(skip) > 0 THEN 'hard_filter' WHEN len(t) > 0 THEN 'title_keep_match' WHEN len(d) >= 2 THEN 'description_keep_match' ELSE 'insufficient_keep_signal' END AS reason FROM h)
       SELECT doc_id, CASE WHEN reason IN ('title_keep_match', 'description_keep_match') THEN 'keep' ELSE 'skip' END AS decision, reason, CASE WHEN reason = 'insufficient_keep_signal' THEN '' ELSE array_to_string(t, '|') END AS title_hits,
         CASE WHEN reason = 'insufficient_keep_signal' THEN '' ELSE array_to_string(d, '|') END AS description_hits, array_to_string(skip, '|') AS skip_hits FROM r""",
+    "hard_filters": """WITH c AS (SELECT c_custkey AS k, lower(c_mktsegment) AS s FROM customer),
+      f AS (SELECT *, CASE WHEN k % 7 = 0 OR k % 17 = 0 THEN 'exclude_job_type' WHEN k % 10 = 0 THEN 'required_language' WHEN k % 11 > 7 THEN 'min_years_experience' WHEN k % 13 = 0 THEN 'export_control_clearance' END AS h FROM c)
+      SELECT k AS c_custkey, CASE WHEN h IS NULL THEN 'keep' ELSE 'skip' END AS decision, CASE WHEN h IS NOT NULL THEN 'hard_filter_' || h WHEN s IN ('machinery', 'building') THEN 'title_keep_match' ELSE 'description_keep_match' END AS reason,
+        CASE WHEN h IS NULL AND s IN ('machinery', 'building') THEN s ELSE '' END AS title_hits,
+        CASE h WHEN 'exclude_job_type' THEN 'job_type:' || CASE WHEN k % 7 = 0 THEN 'internship' ELSE 'graduation' END WHEN 'required_language' THEN 'required_language:dutch' WHEN 'min_years_experience' THEN 'min_years_experience:' || (k % 11)
+          WHEN 'export_control_clearance' THEN 'restriction:export_control_or_security_clearance' ELSE '' END AS skip_hits FROM f""",
+    "page_metadata": f"""WITH {_PAGES} SELECT m AS page_id, CASE WHEN m % 3 <> 0 THEN host WHEN m % 7 > 1 THEN 'Site ' || (m % 13) END AS location, CASE WHEN m % 7 > 1 THEN 'NL' END AS country,
+      CASE WHEN m % 4 = 0 THEN 'Master' END AS educational_background, CASE WHEN m % 5 = 0 THEN 'Full time' WHEN m % 7 > 1 THEN 'FULL_TIME' END AS fulltime_parttime FROM pg""",
+    "page_records": f"""WITH {_PAGES} SELECT job_id, url, 'Vacancy ' || m AS title, 'ai|software' AS disciplines, CASE WHEN m % 3 <> 0 THEN host WHEN m % 7 > 1 THEN 'Site ' || (m % 13) END AS location,
+      CASE WHEN m % 6 = 1 THEN 'Team ' || host END AS team, CASE WHEN m % 2 = 0 THEN (m % 9 + 1) || ' - ' || (m % 9 + 3) || ' years' END AS work_experience, CASE WHEN m % 2 = 0 THEN CAST(m % 9 + 1 AS INT) END AS min_years_experience,
+      CASE WHEN m % 2 = 0 THEN CAST(m % 9 + 3 AS INT) END AS max_years_experience, CASE WHEN m % 4 = 0 THEN 'Master|Bachelor' ELSE 'Bachelor' END AS degrees, 'Semiconductor|Medical' AS domains, CAST(m % 9 + 24 AS INT) AS min_hours_per_week,
+      40 AS max_hours_per_week, 'Hybrid' AS remote_policy, 'From our office and at our clients'' sites' AS work_locations_text, true AS client_site_required, 'North region' AS travel_region FROM pg""",
+    "assembled_jobs": f"""WITH {_CONSTRAINED} SELECT job_id, 1 AS skills, source AS skill, CASE WHEN m % 2 = 1 THEN 'required' ELSE 'preferred' END AS level, lang AS evidence, 'llm' AS source_kind,
+      CASE WHEN m % 4 = 0 THEN 'llm' END AS seniority_source, CASE WHEN m % 2 = 0 THEN 0.9 ELSE 0 END::DOUBLE AS years_confidence, array_to_string([x for x in [c1, c2, c3, c4, c5] if x is not null], '|') AS constraints FROM cs""",
+    "constraint_source": f"WITH {_CONSTRAINED} SELECT job_id, array_to_string([x for x in [c1, c2, c3, c4, CASE WHEN regexp_matches(job_id, '[0-9]$') THEN c5 END] if x is not null], '|') AS constraints FROM cs",
+    "requirement_lines": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '|You have ' || p_type || '|You are fluent in Dutch and English' ELSE p_name || ' skills' END AS required_lines,
+      CASE WHEN p_partkey % 3 = 0 THEN 'Knowledge of German is a plus' ELSE p_type || ' would be nice|Fluent English, preferably French and English' END AS preferred_lines,
+      CASE WHEN p_partkey % 3 = 0 THEN 'Dutch|English' ELSE '' END AS required_languages, CASE WHEN p_partkey % 3 = 0 THEN 'German' ELSE 'English|French' END AS preferred_languages FROM part""",
+    "validate_profiles": """SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'bad_json' WHEN c_custkey % 19 = 0 THEN 'unknown_fields' WHEN c_custkey % 23 = 0 THEN 'item_fields'
+      WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR (c_custkey % 3 = 0 AND c_custkey % 2 = 1) THEN 'invalid_item' ELSE 'valid' END AS error FROM customer""",
+    "retrieved_links": f"WITH {_LINKS} SELECT url, coalesce(string_agg(DISTINCT CASE WHEN user_id % 7 <> 0 THEN facet END, '|' ORDER BY CASE WHEN user_id % 7 <> 0 THEN facet END), '') AS disciplines FROM links WHERE user_id % 7 <> 0 OR user_id % 5 <> 0 GROUP BY url",
+    "skip_explanations": f"WITH {_EVALUATED}, s AS (SELECT cand_key, CASE WHEN stage = 'ranking' THEN 'score < 0.600' ELSE 'stage=' || stage || ' | reason=' || coalesce(reasons[1], 'unknown') END AS line FROM ev WHERE status <> 'match') SELECT cand_key, line, count(*) AS jobs FROM s GROUP BY ALL",
 }
 
 

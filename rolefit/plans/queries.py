@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolefit.functions import extract as X
+from rolefit.functions import pages as P
 from rolefit.functions import text as T
-from rolefit.operators import collect, match, merge, publish
+from rolefit.operators import collect, match, merge, publish, records
 from rolefit.plans import bindings as B
 from rolefit.plans.bindings import table
 
@@ -248,10 +249,13 @@ def merge_languages(spark, sf_dir):
     return merge.merged_languages(items, ["job_key"]).withColumn("level", F.coalesce("level", F.lit("")))
 
 
+_LEVEL = ',"seniority":{"value":null,"confidence":0,"evidence":[]}'
+
+
 def _payloads(spark, sf_dir):
     item = F.format_string('[{"name":"x%d","requirement_level":"%s","confidence":"%s","evidence":["e"]}]', "user_id", F.when(F.col("event_id") % 7 == 0, "maybe").otherwise("required"), F.when(F.col("event_id") % 5 == 0, "1.5").otherwise("0.5"))
     body = F.concat(F.lit('{"skills":'), item, F.lit(',"languages":[],"protocols":[],"standards":[],"domains":[],"restrictions":[]'))
-    end = F.when(F.col("event_id") % 11 == 0, "}").when(F.col("event_id") % 13 == 0, ',"seniority":null,"extra":1}').when(F.col("event_id") % 17 == 0, ',"seniority":').otherwise(',"seniority":null}')
+    end = F.when(F.col("event_id") % 11 == 0, "}").when(F.col("event_id") % 13 == 0, _LEVEL + ',"extra":1}').when(F.col("event_id") % 17 == 0, ',"seniority":').otherwise(_LEVEL + "}")
     return table(spark, sf_dir, "events").select("event_id", F.concat(body, end).alias("payload"))
 
 
@@ -283,10 +287,91 @@ def keyword_filter(spark, sf_dir):
     return rows.select("doc_id", "k.decision", "k.reason", F.array_join("k.title_hits", "|").alias("title_hits"), F.array_join("k.description_hits", "|").alias("description_hits"), F.array_join("k.skip_hits", "|").alias("skip_hits"))
 
 
+def hard_filters(spark, sf_dir):
+    """Customers as vacancies: hard filters before keywords."""
+    key, segment = F.col("c_custkey"), F.lower("c_mktsegment")
+    title = F.concat(segment, F.when(key % 7 == 0, " Internship").when(key % 17 == 0, " Graduation").otherwise(" role"))
+    languages = F.array_compact(F.array(F.when(key % 5 == 0, F.struct(F.lit("Dutch").alias("name"), F.when(key % 2 == 0, "required").otherwise("preferred").alias("requirement_level")))))
+    restrictions = F.array(F.when(key % 13 == 0, "Dutch Security Clearance").otherwise(F.col("c_mktsegment")))
+    met = publish.hard_filters(title, publish.required_names(languages), (key % 11).cast("int"), restrictions)
+    words = publish.keyword_decision(title, F.col("c_name"), [], ["machinery", "building"], ["customer"], 1)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", publish.filtered_decision(met, words).alias("k"))
+    return rows.select("c_custkey", "k.decision", "k.reason", F.array_join("k.title_hits", "|").alias("title_hits"), F.array_join("k.skip_hits", "|").alias("skip_hits"))
+
+
+def page_metadata(spark, sf_dir):
+    rows = B.vacancy_pages(spark, sf_dir).select("page_id", P.job_metadata(P.job_tags(F.col("html")), P.job_posting(F.col("html"))).alias("m"))
+    return rows.select("page_id", "m.*")
+
+
+def page_records(spark, sf_dir):
+    rows = records.page_records(B.vacancy_pages(spark, sf_dir))
+    return rows.select(
+        "job_id", "url", "title", F.array_join("disciplines", "|").alias("disciplines"), "location", "team", "work_experience", "min_years_experience", "max_years_experience",
+        F.array_join("required_degrees", "|").alias("degrees"), F.array_join("industry_domains", "|").alias("domains"), "min_hours_per_week", "max_hours_per_week", "remote_policy",
+        "work_locations_text", "client_site_required", "travel_region",
+    )
+
+
+def _assembled(spark, sf_dir):
+    return records.assembled_jobs(records.page_records(B.vacancy_pages(spark, sf_dir)), B.vacancy_payloads(spark, sf_dir))
+
+
+def _constraint_text(constraints):
+    return F.array_join(F.transform(constraints, lambda c: F.concat_ws(":", c.kind, c.value, c.min_years.cast("string"))), "|")
+
+
+def assembled_jobs(spark, sf_dir):
+    skill = F.get("skills", F.lit(0))
+    return _assembled(spark, sf_dir).select(
+        "job_id", F.size("skills").alias("skills"), skill["name"].alias("skill"), skill.requirement_level.alias("level"), F.array_join(skill.evidence, "|").alias("evidence"), skill.source_kind.alias("source_kind"),
+        F.col("seniority.source_kind").alias("seniority_source"), F.col("years_experience_requirement.confidence").alias("years_confidence"), _constraint_text("job_constraints").alias("constraints"),
+    )
+
+
+def constraint_source(spark, sf_dir):
+    """Vacancies whose id ends in a digit have stored constraints, the others use derived ones."""
+    stored = F.when(F.col("job_id").rlike("[0-9]$"), F.col("job_constraints"))
+    return _assembled(spark, sf_dir).select("job_id", _constraint_text(records.constraints_in_use(stored, F.col("job_constraints"))).alias("constraints"))
+
+
+def requirement_lines(spark, sf_dir):
+    """Requirement sections made of part names, by lines and, for every third part, in one line."""
+    text = """if(p_partkey % 3 = 0, concat('Role What do you bring to the table? ', p_name, ' You have ', p_type, ' You are fluent in Dutch and English Knowledge of German is a plus What can you expect in return? Pay'),
+      concat('Role\\nwhat do you bring to the table?\\n', p_name, '  skills\\n\\n', p_type, ' would be nice\\nFluent English, preferably French and English\\nWhat can you expect in return from us?\\nPay'))"""
+    rows = table(spark, sf_dir, "part").select("p_partkey", P.requirement_lines(F.expr(text)).alias("r"))
+    spoken = rows.select("p_partkey", "r", P.spoken_languages(F.col("r.required"), F.col("r.preferred")).alias("l"))
+    return spoken.select("p_partkey", *(F.array_join(f"{c}.{f}", "|").alias(f"{f}_{n}") for c, n in (("r", "lines"), ("l", "languages")) for f in ("required", "preferred")))
+
+
+def validate_profiles(spark, sf_dir):
+    """Candidate payloads of customers, some of them broken in one place."""
+    payload = """concat('{"skills":[{"name":"', c_mktsegment, '","strength":"', if(c_custkey % 5 = 0, 'expert', 'core'), '","confidence":0.5,"evidence":["', c_name, '"]', if(c_custkey % 23 = 0, ',"more":1', ''), '}],"languages":[{"name":"nl","level":',
+      if(c_custkey % 7 = 0, '"good"', if(c_custkey % 2 = 0, 'null', '"Fluent "')), ',"confidence":"0.5","evidence":["e"]}],"protocols":[],"standards":[],"domains":[],"seniority":{"value":', if(c_custkey % 11 = 0, '"chief"', '"Lead"'),
+      ',"confidence":1,"evidence":["e"]},"years_experience_total":{"value":', c_custkey % 13 - 1, ',"confidence":1,"evidence":["e"]},"candidate_constraints":{"preferred_locations":[" "', if(c_custkey % 3 = 0, ',"Delft"', ''),
+      '],"excluded_locations":[],"preferred_workplace_types":[],"excluded_workplace_types":[],"requires_visa_sponsorship":', if(c_custkey % 4 = 0, 'true', 'null'), ',"avoid_export_control_roles":null,"notes":[],"confidence":0,"evidence":[',
+      if(c_custkey % 2 = 0, '"e"', ''), ']}', if(c_custkey % 19 = 0, ',"x":1', ''), if(c_custkey % 17 = 0, '', '}'))"""
+    rows = merge.checked_profiles(table(spark, sf_dir, "customer").select("c_custkey", F.expr(payload).alias("payload")))
+    return rows.select("c_custkey", F.coalesce("error", F.lit("valid")).alias("error"))
+
+
+def retrieved_links(spark, sf_dir):
+    links = _links(spark, sf_dir)
+    found, _ = collect.retrieved_links(links.where("user_id % 7 <> 0"), links.where("user_id % 5 <> 0"))
+    return found.select("url", F.array_join("disciplines", "|").alias("disciplines"))
+
+
+def skip_explanations(spark, sf_dir):
+    """How many vacancies each candidate skipped by explanation, scores left out of the lines."""
+    lines = match.skip_explanations(_evaluated(spark, sf_dir))
+    return lines.groupBy("cand_key", F.regexp_replace("line", "score=[0-9.]+", "score").alias("line")).agg(F.count("*").alias("jobs"))
+
+
 _ALL = (
     match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, ranking_upsert, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
     normalize_texts, normalize_dedupe, job_identity, content_hash_reuse, confidence_cleaning, workplace_policy, page_fields, experience_hours, degrees_domains, recruiter_contact, restriction_class, link_harvest, discipline_map,
     facet_completeness, collection_limit, collection_validation, page_new_links, merge_job_features, merge_candidate_features, merge_restrictions, merge_languages, validate_payloads, snapshot_diff, new_fields, field_change_freq, keyword_filter,
+    hard_filters, page_metadata, page_records, assembled_jobs, constraint_source, requirement_lines, validate_profiles, retrieved_links, skip_explanations,
 )
 
 

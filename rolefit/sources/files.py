@@ -79,11 +79,31 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 
 def write_rankings(rankings: DataFrame, path: str) -> None:
     """Partitioned by company and status; a row without candidate or job id is an error."""
-    checked = rankings.withColumn("candidate_id", F.when(F.coalesce(F.trim("candidate_id"), F.lit("")) != "", F.col("candidate_id")).otherwise(F.raise_error(F.lit("candidate_id is missing"))))
-    checked = checked.withColumn("job_id", F.when(F.coalesce(F.trim("job_id"), F.lit("")) != "", F.col("job_id")).otherwise(F.raise_error(F.lit("job_id is missing"))))
+    checked = _filled_key(_filled_key(rankings, "candidate_id"), "job_id")
     checked.write.partitionBy("company_slug", "status").mode("overwrite").parquet(path)
 
 
+def _filled_key(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn(key, F.when(F.coalesce(F.trim(key), F.lit("")) != "", F.col(key)).otherwise(F.raise_error(F.lit(f"{key} is missing"))))
+
+
+def write_candidates(profiles: DataFrame, path: str) -> None:
+    """Candidate profiles as JSON; a blank candidate_id is an error. The folder is written anew: `publish.upserted` gives old and new profiles by id."""
+    _filled_key(profiles, "candidate_id").write.mode("overwrite").json(path)
+
+
+def write_decisions(jobs: DataFrame, rankings: DataFrame, path: str) -> None:
+    """Vacancies beside their rankings (job_id, status), in partitions match and mismatch. The whole folder is written anew, so a vacancy whose
+    decision changed leaves nothing behind in the other partition.
+    """
+    jobs.join(rankings.select("job_id", "status"), "job_id").write.partitionBy("status").mode("overwrite").parquet(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A validation report as JSON, one folder for each company_slug; a blank slug is an error."""
+    _filled_key(report, "company_slug").write.partitionBy("company_slug").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+
+
 def write_layer(jobs: DataFrame, path: str) -> None:
     """Raw, evaluated or profile layers of vacancies; only the partitions at hand are overwritten."""
     jobs.write.partitionBy("company_slug", "layer").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
