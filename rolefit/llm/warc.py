@@ -77,20 +77,50 @@ def _parse(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, payload, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records of the gzip member, or the plain record, at `at`, and its end."""
-    if data.startswith(MEMBER, at):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(memoryview(data)[at:]) + unpack.flush()
-        if not unpack.eof:
-            raise ValueError("the member is cut off")
-        records, p = [], 0
-        while p < len(raw):
-            headers, payload, p = _parse(raw, p)
+#: Compressed bytes that are inflated in one go.
+_PIECE = 1 << 16
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(what the gzip member at `at` inflates to, its end, None), or (what could be inflated before an error, the end of what was read, the error)."""
+    unpack, out, p = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        if p >= len(data):
+            return b"".join(out), p, "the member is cut off"
+        piece = data[p : p + _PIECE]
+        try:
+            out.append(unpack.decompress(piece))
+        except zlib.error as e:
+            # The same again up to the piece, then byte by byte: what comes before the error is kept.
+            again = zlib.decompressobj(31)
+            again.decompress(data[at:p])
+            for k in range(len(piece)):
+                try:
+                    out.append(again.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), p, str(e)
+        p += len(piece)
+    return b"".join(out), p - len(unpack.unused_data), None
+
+
+def _verified(headers: dict[str, str]) -> bool:
+    """A record whose payload was held against a digest: the only kind taken from a member that itself failed its check."""
+    return headers.get("warc-type") == "response" and bool(headers.get("warc-payload-digest"))
+
+
+def _records_of(raw: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str | None]:
+    """All valid records of inflated bytes, and the first error; after an error reading goes on at the next version line that starts a valid record."""
+    records, at, error = [], 0, None
+    while at < len(raw):
+        try:
+            headers, payload, at = _parse(raw, at)
             records.append((headers, payload))
-        return records, len(data) - len(unpack.unused_data)
-    headers, payload, end = _parse(data, at)
-    return [(headers, payload)], end
+        except ValueError as e:
+            error = error or str(e)
+            found = VERSION_LINE.search(raw, at + 1)
+            at = found.start() if found else len(raw)
+    return records, error
 
 
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
@@ -99,23 +129,42 @@ _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records of an archive in order, compressed or plain. Where a check fails, the bytes up to the next member or version line that
     starts a valid record become a Gap, and reading goes on there.
+
+    A member that inflates but holds a bad record is searched inside: its other records come out, and its bytes are a Gap too. Of a member that
+    does not inflate to its end, the records before the error come out if their payloads have the digests they name. Members are inflated
+    in pieces of 64 KB, so many small ones take time in proportion to their bytes.
     """
     at, bad, reason = 0, None, ""
     while at < len(data):
-        try:
-            records, end = _member(data, at)
-        except (ValueError, zlib.error) as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            found = _CANDIDATE.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if bad is not None:
+        records, end, error, whole = [], len(data), None, True
+        if data.startswith(MEMBER, at):
+            raw, end, error = _inflated(data, at)
+            whole = error is None
+            records, inner = _records_of(raw)
+            if not whole:
+                records = [r for r in records if _verified(r[0])]
+            error = error or inner
+        else:
+            try:
+                headers, payload, end = _parse(data, at)
+                records = [(headers, payload)]
+            except ValueError as e:
+                error, whole = str(e), False
+        if bad is not None and (error is None or records):
             yield Gap(bad, at, reason)
             bad = None
         for headers, payload in records:
             yield Record(headers, payload, at, end)
-        at = end
+        if error is None:
+            at = end
+        elif whole:
+            yield Gap(at, end, error)
+            at = end
+        else:
+            if bad is None:
+                bad, reason = at, error
+            found = _CANDIDATE.search(data, at + 1)
+            at = found.start() if found else len(data)
     if bad is not None:
         yield Gap(bad, len(data), reason)
 
@@ -198,6 +247,11 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), written to archives in the shared folder and read back."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), written to archives in the shared folder and read back.
+
+    A gap in what was just written is an error. Other columns of `pages` are left out, whatever their names; an empty table gives no rows.
+    """
     folder = new_folder(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder), folder, payloads=False).where("gap_start is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_archives(write_archives(pages, folder), folder, payloads=False)
+    damaged = F.raise_error(F.concat_ws(" ", F.lit("damaged archive"), "path", F.lit("from byte"), F.col("gap_start").cast("string"), "gap_reason")).cast("boolean")
+    return rows.where(F.when(F.col("gap_start").isNull(), True).otherwise(damaged)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
