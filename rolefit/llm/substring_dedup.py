@@ -196,11 +196,11 @@ def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
     All windows of `span` bytes that have one anchor form a block. Equal windows have equal anchors at equal distances, so windows meet where their
     anchors do. Where all blocks of an anchor are equal, all their windows repeat. Else the blocks' bytes are brought together by anchor
     and their windows compared; an anchor of very many blocks is dealt over tasks by the windows' distance from it, which parts no equal windows.
+    Blocks are counted by anchor before they are shuffled, and the join of the counts can split a frequent anchor's rows.
     """
     blocks = staged(docs.mapInArrow(_anchored(span), "uid long, place long, anchor long, block long"), "blocks")
-    dealt = blocks.repartition("anchor")
-    shared = dealt.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1")
-    met = staged(dealt.join(shared.hint("shuffle_hash"), "anchor").select("uid", "place", "anchor", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") > HOT, SLICES).otherwise(1).alias("parts")), "shared-blocks")
+    shared = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1")
+    met = staged(blocks.join(shared.hint("shuffle_hash"), "anchor").select("uid", "place", "anchor", F.when(F.col("low") == F.col("high"), 0).when(F.col("n") > HOT, SLICES).otherwise(1).alias("parts")), "shared-blocks")
     start = F.shiftrightunsigned("place", 16)
     whole = met.where("parts = 0").select("uid", start.alias("start"), (start + F.col("place") % 256 - 1 + span).alias("end"))
     wanted = met.where("parts > 0").groupBy("uid").agg(F.collect_list(F.struct("place", "anchor", "parts")).alias("wanted"))
