@@ -41,12 +41,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """`df.mapInArrow`, with the session's `spark.sql.execution.arrow.maxBytesPerBatch` set to `BATCH_BYTES`: rows differ in length by orders of
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, pandas: bool = False) -> DataFrame:
+    """`df.mapInArrow` (or `mapInPandas`), with the session's `spark.sql.execution.arrow.maxBytesPerBatch` set to `BATCH_BYTES`: rows differ in length by orders of
     magnitude, so that a number of rows bounds nothing.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInPandas(function, schema) if pandas else df.mapInArrow(function, schema)
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rolefit.llm.conversations import damaged, repair
 from rolefit.llm.decontaminate import contamination
 from rolefit.llm.embedding_dedup import embedding_links
 from rolefit.llm.html_text import main_text
@@ -15,6 +16,7 @@ from rolefit.llm.near_dedup import near_duplicates
 from rolefit.llm.packing import pack
 from rolefit.llm.pipeline import run
 from rolefit.llm.quality import classify
+from rolefit.llm.quality_rules import quality_rules
 from rolefit.llm.substring_dedup import without_repeated_spans
 from rolefit.llm.token_files import token_round_trip
 from rolefit.llm.warc import warc_round_trip
@@ -66,9 +68,21 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_read(spark, sf_dir, "conversations")), live="live")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files, op8_line_dedup, op9_html_main_text, op10_warc_archives, pipeline)}
+    registered = (
+        op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files,
+        op8_line_dedup, op9_html_main_text, op10_warc_archives, op11_quality_rules, op13_conversation_repair, pipeline,
+    )
+    return {f.__name__: f for f in registered}
