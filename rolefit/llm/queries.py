@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rolefit.llm.alignment import alignment
 from rolefit.llm.conversations import damaged, repair
 from rolefit.llm.decontaminate import contamination
 from rolefit.llm.embedding_dedup import embedding_links
@@ -72,6 +73,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(_read(spark, sf_dir, "conversations")), live="live")
 
@@ -83,6 +88,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_minhash_near_dedup, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_repeated_substrings, op6_embedding_near_dedup, op7_token_files,
-        op8_line_dedup, op9_html_main_text, op10_warc_archives, op11_quality_rules, op13_conversation_repair, pipeline,
+        op8_line_dedup, op9_html_main_text, op10_warc_archives, op11_quality_rules, op12_tokenizer_alignment, op13_conversation_repair, pipeline,
     )
     return {f.__name__: f for f in registered}
