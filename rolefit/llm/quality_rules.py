@@ -35,7 +35,7 @@ class Rules(NamedTuple):
     least_chars: int = 200
     char_distance: float = 0.15
     word_distance: float = 0.3
-    sampling: float = 0.5
+    sampling: float = 1.0
     loose: float = 1.5
     common_words: int = 100
     reference_words: int = 2000
