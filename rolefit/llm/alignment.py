@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ BROADCAST_PAIRS = 1 << 20
 #: Texts are cut before a space that follows anything but white space, unless the space is the text's last character. No token of either tokenizer
 #: crosses such a place. Characters that only some versions of Unicode call white space count as it: fewer cuts are as right.
 _NO_CUT = "\\s\u180e\u200b\ufeff"
-_CUT, _OPEN_END = re.compile(f"(?<=[^{_NO_CUT}]) (?!\\Z)"), re.compile(f"[{_NO_CUT}]\\Z")
+_CUT, _OPEN_END = re.compile(f"(?<=[^{_NO_CUT}])(?= (?!\\Z))"), re.compile(f"[{_NO_CUT}]\\Z")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _SPACE = "▁"
 
@@ -33,20 +34,43 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Aligned(NamedTuple):
-    """What a run of bytes gives: tokens of A and B, groups, links, the pairs of ids as `a << 32 | b` with their occurrences, and the groups as text."""
+    """What texts give, a row for each: tokens of A and B, groups, links, the groups as text, and the bounds of their distinct pairs of ids in `a`, `b` and `times`."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray
-    links: np.ndarray
-    text: bytes
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[bytes]
+    bounds: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    times: np.ndarray
+
+
+class _Numbers(dict):
+    """Numbers chunks in the order in which they are first asked for; the new ones are in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + sizes[i] - 1 for every i, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Aligner:
     """Aligns the ids of a byte-level BPE (a `tokenizers` file, A) and of a piece BPE that adds a space (a `sentencepiece` model, B).
 
-    A text is cut where both tokenizers always part it, so a chunk that was met before costs one lookup. New chunks are joined and encoded together.
+    A text is cut where both tokenizers always part it, so a chunk that was met before costs one lookup. New chunks are joined, and encoded and
+    aligned together; arrays hold what each chunk gives, and a text's figures are sums and runs of its chunks'.
     """
 
     def __init__(self, path_a: str, path_b: str) -> None:
@@ -67,87 +91,99 @@ class Aligner:
             raise ValueError("a piece holds a space after another character: texts can't be cut before spaces")
         self._bytes_b = [bytes([int(m[1], 16)]) if self._b.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self._sizes_a, self._sizes_b = (np.array([len(x) for x in y], np.int64) for y in (self._bytes_a, self._bytes_b))
+        self._bits_b = len(self._bytes_b).bit_length()
+        self._bits = self._bits_b + len(self._bytes_a).bit_length()
+        plain = [str(i).encode() for i in range(max(len(self._bytes_a), len(self._bytes_b)))]
+        self._said = {end: np.array([x + end for x in plain], object) for end in (b",", b"|", b";")}
         self.clear()
 
     def clear(self) -> None:
-        self._known: dict[str, Aligned | None] = {}
-        self._held = 0
+        self._numbers, self._held, self._groups = _Numbers(), 0, []
+        self._bad, self._figures, self._links = np.empty(0, bool), np.empty((4, 0), np.int64), np.empty(0, np.int64)
 
     def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that starts with a space; B is given what follows it, and adds it."""
         return np.array(self._a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self._b.encode(text[1:]), np.int64)
 
-    def _align(self, a: np.ndarray, b: np.ndarray) -> Aligned:
-        ends_a, ends_b = np.cumsum(self._sizes_a[a]).tolist(), np.cumsum(self._sizes_b[b]).tolist()
-        ids_a, ids_b = a.tolist(), b.tolist()
-        i = j = first_i = first_j = 0
-        text, pairs = [], []
-        while i < len(ids_a):  # both end at the last byte, so both run out together
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            elif ends_a[i] > ends_b[j]:
-                j += 1
+    def _aligned(self, chunks: list[str]) -> Iterator[tuple[bool, np.ndarray, list[bytes], np.ndarray]]:
+        """(not told by its ids, (tokens of A, of B, groups, links), groups as texts, links as pairs of ids) for runs of `chunks`, in order."""
+        joined = "".join(chunks)
+        whole, (a, b) = joined.encode(), self._ids(joined)
+        ends = np.cumsum(np.fromiter((len(c) for c in chunks) if len(whole) == len(joined) else (len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
+        told = b"".join([self._bytes_a[i] for i in a.tolist()]) == whole == b"".join([self._bytes_b[i] for i in b.tolist()])
+        if not told or not all((e[np.searchsorted(e, ends)] == ends).all() for e in (ends_a, ends_b)):
+            if len(chunks) == 1:
+                yield True, np.zeros((4, 1), np.int64), [b""], np.empty(0, np.int64)
             else:
-                i, j = i + 1, j + 1
-                own_a, own_b = ids_a[first_i:i], ids_b[first_j:j]
-                text.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                pairs += [(x << 32) | y for x in own_a for y in own_b]
-                first_i, first_j = i, j
-        keys, counts = np.unique(np.array(pairs, np.int64), return_counts=True)
-        return Aligned(len(ids_a), len(ids_b), len(text), keys, counts, ";".join(text).encode())
+                yield from self._aligned(chunks[: len(chunks) // 2])
+                yield from self._aligned(chunks[len(chunks) // 2 :])
+            return
+        last_a, last_b = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y for x, y in ((ends_b, ends_a), (ends_a, ends_b)))
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        size_a, size_b = np.bincount(of_a), np.bincount(of_b)
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        chunk = np.searchsorted(ends, ends_a[last_a])  # of each group
+        per_chunk = [np.bincount(chunk, x, len(chunks)).astype(np.int64) for x in (size_a, size_b, np.ones(len(chunk)), size_a * size_b)]
+        links = np.repeat(a, size_b[of_a]) << self._bits_b | b[_runs(first_b[of_a], size_b[of_a])]
+        said = np.empty(len(a) + len(b), object)  # the groups' tokens in order, each with the mark that follows it
+        said[np.arange(len(a)) + first_b[of_a]] = np.where(last_a, self._said[b"|"][a], self._said[b","][a])
+        said[np.arange(len(b)) + (first_a + size_a)[of_b]] = np.where(last_b, self._said[b";"][b], self._said[b","][b])
+        said, bounds = said.tolist(), np.cumsum([0, *(per_chunk[0] + per_chunk[1])]).tolist()
+        yield False, np.array(per_chunk), [b"".join(said[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], links
 
     def _learn(self, chunks: list[str]) -> None:
-        """Aligns new chunks. A chunk that ends with white space is encoded alone, the others joined; None: bytes of A or B differ from the chunk."""
-        joined = [c for c in chunks if not _OPEN_END.search(c, len(c) - 1)]
-        if joined:
-            a, b = self._ids("".join(joined))
-            ends_a, ends_b = np.cumsum(self._sizes_a[a]), np.cumsum(self._sizes_b[b])
-            ends = np.cumsum([len(c.encode()) for c in joined])
-            at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-            if len(a) and len(b) and ends_a[-1] == ends[-1] == ends_b[-1] and (ends_a[at_a] == ends).all() and (ends_b[at_b] == ends).all():
-                first_a = first_b = 0
-                for chunk, end_a, end_b in zip(joined, (at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                    self._keep(chunk, a[first_a:end_a], b[first_b:end_b])
-                    first_a, first_b = end_a, end_b
-            else:  # some chunk isn't told by its ids, perhaps
-                for chunk in joined:
-                    self._keep(chunk, *self._ids(chunk))
-        for chunk in set(chunks).difference(joined):
-            self._keep(chunk, *self._ids(chunk))
-
-    def _keep(self, chunk: str, a: np.ndarray, b: np.ndarray) -> None:
-        whole = chunk.encode()
-        same = b"".join([self._bytes_a[i] for i in a.tolist()]) == whole == b"".join([self._bytes_b[i] for i in b.tolist()])
-        own = self._known[chunk] = self._align(a, b) if same else None
-        self._held += len(whole) + (700 + 16 * len(own.pairs) + len(own.text) if own else 100)
-
-    def align(self, texts: list[str]) -> Iterator[Aligned]:
-        """For each text, which isn't empty, the alignment of a space and the text; no tokens where the bytes of A or B are not those."""
+        """Adds what new chunks give, in their order. A chunk that ends with white space is encoded alone, the others joined."""
+        first, found = 0, []
+        while first < len(chunks):
+            end = first + 1
+            if not _OPEN_END.search(chunks[first], len(chunks[first]) - 1):
+                while end < len(chunks) and not _OPEN_END.search(chunks[end], len(chunks[end]) - 1):
+                    end += 1
+            found += self._aligned(chunks[first:end])
+            first = end
+        self._bad = np.concatenate([self._bad, *(np.full(len(texts), bad) for bad, _, texts, _ in found)])
+        self._figures = np.concatenate([self._figures, *(x for _, x, _, _ in found)], axis=1)
+        self._links = np.concatenate([self._links, *(x for _, _, _, x in found)])
+        self._groups += [t for _, _, texts, _ in found for t in texts]
+        self._held = 8 * len(self._links) + 300 * len(self._groups) + sum(map(len, self._numbers)) + sum(map(len, self._groups))
+
+    def _numbered(self, chunks: Iterator[str], n: int) -> np.ndarray:
+        at = np.fromiter(map(self._numbers.__getitem__, chunks), np.int64, n)
+        if self._numbers.new:
+            self._learn(self._numbers.new)
+            self._numbers.new = []
+        return at
+
+    def align(self, texts: list[str]) -> Aligned:
+        """The alignment of a space and each text, none of which is empty; no tokens where the bytes of A or B are not those."""
         if self._held > CACHE_BYTES:
             self.clear()
-        cut = []
-        for text in texts:
-            first, *rest = _CUT.split(" " + text)
-            cut.append([first, *(" " + x for x in rest)])
-        new = dict.fromkeys(c for chunks in cut for c in chunks if c not in self._known)
-        if new:
-            self._learn(list(new))
-        for text, chunks in zip(texts, cut, strict=True):
-            own = [self._known[c] for c in chunks]
-            yield self._whole(text) if None in own else self._sum(own)
-
-    def _whole(self, text: str) -> Aligned:
-        """The text at once, for texts that one of the tokenizers changes."""
-        a, b = self._ids(" " + text)
-        if b"".join([self._bytes_a[i] for i in a.tolist()]) != (" " + text).encode() or b"".join([self._bytes_b[i] for i in b.tolist()]) != (" " + text).encode():
-            return Aligned(0, 0, 0, np.empty(0, np.int64), np.empty(0, np.int64), b"")
-        return self._align(a, b)
-
-    @staticmethod
-    def _sum(own: list[Aligned]) -> Aligned:
-        n_a, n_b, n_groups, pairs, links, text = zip(*own, strict=True)
-        keys, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        return Aligned(sum(n_a), sum(n_b), sum(n_groups), keys, np.bincount(at, np.concatenate(links)).astype(np.int64), b";".join(text))
+        cut = [_CUT.split(" " + t) for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = self._numbered(chain.from_iterable(cut), int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        odd = np.add.reduceat(self._bad[at], ends - sizes, dtype=np.int64) > 0
+        if odd.any():  # those texts at once
+            again = self._numbered((" " + texts[k] for k in np.flatnonzero(odd).tolist()), int(odd.sum()))
+            keep = np.repeat(~odd, sizes)
+            sizes = np.where(odd, 1, sizes)
+            mixed = np.empty(int(sizes.sum()), np.int64)
+            alone = np.repeat(odd, sizes)
+            mixed[alone], mixed[~alone] = again, at[keep]
+            at, ends = mixed, np.cumsum(sizes)
+        first = ends - sizes
+        n_a, n_b, n_groups, n_links = np.add.reduceat(self._figures[:, at], first, axis=1)
+        own, starts = self._figures[3][at], np.cumsum(self._figures[3]) - self._figures[3]
+        rows = np.repeat(np.arange(len(texts)), n_links) << self._bits | self._links[_runs(starts[at], own)]
+        rows.sort()
+        new = np.flatnonzero(np.diff(rows, prepend=-1))
+        times, pairs = np.diff(new, append=len(rows)), rows[new]
+        bounds = np.searchsorted(pairs >> self._bits, np.arange(len(texts) + 1))
+        groups, numbers = self._groups, at.tolist()
+        said = [b"".join([groups[k] for k in numbers[x:y]])[:-1] for x, y in zip(first.tolist(), ends.tolist(), strict=True)]
+        pairs &= (1 << self._bits) - 1
+        return Aligned(n_a, n_b, n_groups, n_links, said, bounds, pairs >> self._bits_b, pairs & ((1 << self._bits_b) - 1), times)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -160,7 +196,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
-_TEXTS = "digest string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, links array<int>"
+_TEXTS = "digest string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
 
 
 def align_texts(texts: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 1 << 20) -> DataFrame:
@@ -174,12 +210,10 @@ def align_texts(texts: DataFrame, path_a: str, path_b: str, chunk_bytes: int = 1
                 while end < len(texts) and (end == first or size + len(texts[end]) <= chunk_bytes):
                     size += len(texts[end])
                     end += 1
-                own = list(aligner(path_a, path_b).align(texts[first:end]))
-                pairs, links = np.concatenate([x.pairs for x in own]), np.concatenate([x.links for x in own])
-                bounds = pa.array(np.cumsum([0, *(len(x.pairs) for x in own)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(c.astype(np.int32))) for c in (pairs >> 32, pairs & 0xFFFFFFFF, links)]
-                figures = [pa.array(c, pa.int64()) for c in zip(*((x.n_a, x.n_b, x.n_groups, int(x.links.sum())) for x in own), strict=True)]
-                shas = pa.array([hashlib.sha256(x.text).hexdigest() if x.n_a else "" for x in own])
+                own = aligner(path_a, path_b).align(texts[first:end])
+                lists = [pa.ListArray.from_arrays(pa.array(own.bounds, pa.int32()), pa.array(c, pa.int32())) for c in (own.a, own.b, own.times)]
+                figures = [pa.array(c, pa.int64()) for c in (own.n_a, own.n_b, own.n_groups, own.n_links)]
+                shas = pa.array([hashlib.sha256(x).hexdigest() if x else "" for x in own.groups])
                 kept = [batch.column(c).slice(first, end - first) for c in ("digest", "copies")]
                 yield pa.RecordBatch.from_arrays([*kept, *figures, shas, *lists], names=[x.split()[0] for x in _TEXTS.split(", ")])
                 first = end
@@ -204,8 +238,8 @@ def _measured(aligned: DataFrame, counts: DataFrame) -> DataFrame:
             break
         least, kept = size, kept + n
     frequent = F.floor(F.log2("documents")).cast("int") >= least
-    pairs = aligned.select("digest", F.explode(F.arrays_zip("a", "b", "links")).alias("p")).select("digest", "p.*")
-    figures = (F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("documents")).alias("count_sum"))
+    pairs = aligned.select("digest", F.explode(F.arrays_zip("a", "b", "times")).alias("p")).select("digest", "p.*")
+    figures = (F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("documents")).alias("count_sum"))
     found = pairs.join(F.broadcast(counts.where(frequent)), ["a", "b"]).groupBy("digest").agg(*figures)
     if kept < sum(r["count"] for r in by_size):
         rare = counts.where(~frequent)
