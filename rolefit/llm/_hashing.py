@@ -6,6 +6,8 @@ a finaliser then mixes the bits. Byte values are replaced by fixed random 64-bit
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 U = np.uint64
@@ -57,12 +59,20 @@ def unshift(n: int) -> np.ndarray:
     return powers(_INVERSE, n)
 
 
+#: Bytes of a word from which on it is hashed by BLAKE2b: modulo 2**64 some patterned strings of several hundred bytes have one polynomial hash.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the runs of bytes other than ASCII white space."""
     edge = np.diff(np.concatenate([[0], (~WHITE[data]).view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     p = prefix_hash(data, values)
-    return starts, ends, mix((p[ends] - p[starts]) * unshift(len(data) + 1)[starts] + (ends - starts).astype(U))
+    hashes = mix((p[ends] - p[starts]) * unshift(len(data) + 1)[starts] + (ends - starts).astype(U))
+    for k in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        hashes[k] = int.from_bytes(blake2b(word.lower() if values[65] == values[97] else word, digest_size=8).digest(), "little")
+    return starts, ends, hashes
 
 
 def sequence_hash(words: np.ndarray, size: int) -> np.ndarray:
