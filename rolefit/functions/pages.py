@@ -5,63 +5,92 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolefit.functions.extract import first_mentions, page_text, requirement_level
+from rolefit.functions.extract import first_mentions, requirement_level
+from rolefit.functions.markup import attribute, let, structure, text_of, tokens
+from rolefit.functions.strict import json_kind, strict_json
 from rolefit.functions.text import normalized, taxonomy_name
 
 # Class names, labels, headings and line starts that must be these for right results.
 _LD_BLOCK = r"(?is)<script[^>]*\stype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-_TAG_OPEN = r"<\w+[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?job-tag(?:\s[^\"']*)?[\"']"
-_TAG_VALUE = r"(?is)<(\w+)[^>]*\sclass\s*=\s*[\"'](?:[^\"']*\s)?job-tag-value(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1>"
+TAG_CLASSES = ("job-tags-wrapper", "job-tag", "job-tag-value")
 SECTION_START = "What do you bring to the table?"
 SECTION_END = "What can you expect in return"
 _LINE_STARTS = r"\s+(?=(?:You (?:have|are|understand|know|can)|Knowledge of|Experience with)\b)"
 LANGUAGES = ("Dutch", "English", "German", "French", "Spanish", "Italian", "Portuguese", "Polish", "Chinese", "Japanese")
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def _filled(s: Column) -> Column:
     return F.nullif(s, F.lit(""))
 
 
-def visible_text(markup: Column) -> Column:
-    """Text of a piece of markup with the common character references decoded."""
-    text = page_text(markup)
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return normalized(text)
+def read_page(html: Column, labels: dict[str, str] | None = None) -> Column:
+    """struct(tags map<string,string>, and a string for each name in `labels`), by one pass over the page's markup.
+
+    Tags are the elements of the tag class inside a wrapper: the key is the normalised `data-type`, else `title`, the value the text of the first
+    element of the value class inside; tags without either are left out, the last of a key wins. A labelled value is what follows the label in the parent of the
+    first element whose whole text is the label, without colons and white space around it; null where that parent's text starts otherwise. Pages without a label and without
+    the wrapper are not parsed.
+    """
+    labels = labels or {}
+    wrapper, _, _ = TAG_CLASSES
+    worth = F.contains(html, F.lit(wrapper))
+    for label in labels.values():
+        worth = worth | html.rlike(r"\s+".join("".join(c if c.isalnum() else "\\" + c for c in w) for w in label.split()))
+
+    def read(stream: Column, s: Column) -> Column:
+        entries = F.transform(s.tags, lambda t: F.struct(_tag_key(F.get(stream, t.at - 1).tag).alias("key"), F.coalesce(text_of(stream, t.first, t.last), F.lit("")).alias("value")))
+        filled = F.filter(entries, lambda e: (e.key != "") & (e.value != ""))
+        tags = F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later.key == e.key)))
+        places = [F.get(s.labels, F.lit(k)) for k in range(len(labels))]
+        values = [_after_label(text_of(stream, x.first, x.last), label).alias(name) for x, (name, label) in zip(places, labels.items(), strict=True)]
+        return F.struct(tags.alias("tags"), *values)
+
+    parsed = let(tokens(html), lambda stream: let(structure(stream, *TAG_CLASSES, list(labels.values())), lambda s: read(stream, s)))
+    none = F.struct(F.create_map().cast("map<string,string>").alias("tags"), *(F.lit(None).cast("string").alias(x) for x in labels))
+    return F.when(worth, parsed).otherwise(none)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return _filled(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+def _after_label(block: Column, label: str) -> Column:
+    return F.when(F.startswith(F.lower(block), F.lit(label.lower())), _filled(F.btrim(F.substring(block, len(label) + 1, 1 << 30), F.lit(" :\n\t"))))
 
 
 def job_tags(html: Column) -> Column:
-    """map(key, value) of the page's tags: the key is the normalised `data-type`, else `title`; blank keys and values are left out, the last of a key wins."""
-    pieces = F.filter(F.split(html, rf"(?is)(?={_TAG_OPEN})"), lambda p: p.rlike(rf"(?is)^{_TAG_OPEN}"))
-    entries = F.transform(pieces, lambda p: F.struct(_tag_key(p).alias("key"), visible_text(F.regexp_extract(p, _TAG_VALUE, 2)).alias("value")))
-    filled = F.filter(entries, lambda e: (e.key != "") & (e.value != ""))
-    return F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later.key == e.key)))
+    """The tags of `read_page`."""
+    return read_page(html)["tags"]
+
+
+def labelled_value(html: Column, label: str) -> Column:
+    """One labelled value of `read_page`."""
+    return read_page(html, {"value": label})["value"]
+
 
+def _tag_key(tag: Column) -> Column:
+    return F.coalesce(taxonomy_name(F.coalesce(attribute(tag, "data-type"), attribute(tag, "title"))), F.lit(""))
 
-def _tag_key(piece: Column) -> Column:
-    tag = F.regexp_extract(piece, r"(?is)^<[^>]*>", 0)
-    return F.coalesce(taxonomy_name(F.coalesce(_attribute(tag, "data-type"), _attribute(tag, "title"))), F.lit(""))
+
+def _as_text(v: Column) -> Column:
+    """A JSON value as the text that the reference's language gives it: null is None, truth values have capitals, lists of texts keep their quotes."""
+    kind, none = json_kind(v), F.lit("None")
+    texts = F.concat(F.lit("["), F.array_join(F.transform(F.try_variant_get(v, "$", "array<string>"), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    plain = F.try_variant_get(v, "$", "string")
+    return F.when(v.isNull(), "").when(kind == "null", none).when(kind == "boolean", F.initcap(plain)).when(kind == "array", texts).otherwise(plain)
 
 
 def job_posting(html: Column) -> Column:
-    """struct(location, country, employment_type) of the first JSON-LD node of type JobPosting, whatever its case; lists are expanded, broken
-    blocks skipped; a missing, null or blank value is null, as is all of a page without such a node.
+    """struct(location, country, employment_type) of the first JSON-LD node of type JobPosting, whatever its case; lists are expanded, blocks that
+    are not JSON from end to end skipped; a missing or blank value is null, a JSON null the text None, as is all of a page without such a node null.
     """
-    blocks = F.transform(F.regexp_extract_all(html, F.lit(_LD_BLOCK), F.lit(1)), lambda b: F.trim(normalized(b)))
-    nodes = F.flatten(F.transform(blocks, lambda b: F.when(F.startswith(b, F.lit("[")), F.coalesce(F.from_json(b, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(b))))
-    parsed = F.transform(F.filter(nodes, lambda n: F.startswith(n, F.lit("{"))), lambda n: F.from_json(n, "`@type` string, jobLocation string, employmentType string"))
-    node = F.get(F.filter(parsed, lambda n: F.coalesce(taxonomy_name(n["@type"]), F.lit("")) == "jobposting"), F.lit(0))
-    place = F.from_json(F.when(F.startswith(node.jobLocation, F.lit("{")), node.jobLocation), "address string").address
-    address = F.from_json(F.when(F.startswith(place, F.lit("{")), place), "addressLocality string, addressCountry string")
-    return F.struct(
-        _filled(normalized(address.addressLocality)).alias("location"), _filled(normalized(address.addressCountry)).alias("country"),
-        _filled(normalized(node.employmentType)).alias("employment_type"),
-    )
+    blocks = F.transform(F.regexp_extract_all(html, F.lit(_LD_BLOCK), F.lit(1)), strict_json)
+    lists = F.transform(blocks, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)))
+    objects = F.transform(F.flatten(F.filter(lists, lambda x: x.isNotNull())), lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
+    node = F.get(F.filter(objects, lambda m: m.isNotNull() & (F.coalesce(taxonomy_name(_as_text(F.try_element_at(m, F.lit("@type")))), F.lit("")) == "jobposting")), F.lit(0))
+
+    def fields(m: Column) -> Column:
+        address = F.try_variant_get(F.try_element_at(F.try_variant_get(F.try_element_at(m, F.lit("jobLocation")), "$", "map<string,variant>"), F.lit("address")), "$", "map<string,variant>")
+        values = {"location": F.try_element_at(address, F.lit("addressLocality")), "country": F.try_element_at(address, F.lit("addressCountry")), "employment_type": F.try_element_at(m, F.lit("employmentType"))}
+        return F.struct(*(_filled(normalized(_as_text(v))).alias(name) for name, v in values.items()))
+
+    return let(node, fields)
 
 
 def job_metadata(tags: Column, posting: Column) -> Column:
@@ -75,14 +104,6 @@ def job_metadata(tags: Column, posting: Column) -> Column:
     )
 
 
-def labelled_value(html: Column, label: str) -> Column:
-    """Text that follows the element whose whole text is `label` inside the same parent, where that element comes first; null if there is none."""
-    words = r"\s+".join("".join(c if c.isalnum() else "\\" + c for c in w) for w in label.split())
-    inside = r"((?:[^<]++|<(\w+)\b[^>]*+>[^<]*+</\3>|<br\s*/?>)*+)"
-    found = F.regexp_extract(html, rf"<\w+[^>]*>\s*<(\w+)[^>]*>\s*{words}\s*</\1>{inside}", 2)
-    return _filled(F.btrim(visible_text(found), F.lit(" :\n\t")))
-
-
 def requirement_lines(text: Column) -> Column:
     """struct(required, preferred): lines of the requirement section (all of the text after its heading where no next heading follows). A section
     in one line is split before the starts of sentences that tell requirements. Without a section both lists are empty.

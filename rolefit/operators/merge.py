@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import weights as W
+from rolefit.functions.strict import json_kind, json_text, json_texts, strict_json
 from rolefit.functions.text import deduped_texts, name_or_empty, parsed_confidence, workplace_type
 
 _RANKS = {"requirement": {"preferred": 0, "required": 1}, "strength": {"exposure": 0, "secondary": 1, "strong": 2, "core": 3}}
@@ -128,9 +129,47 @@ _CONSTRAINT_FIELDS = (
 )
 
 
-def _struct_of(fields: tuple[str, ...]) -> str:
-    types = dict.fromkeys(("evidence", "notes", *_CONSTRAINT_FIELDS[:4]), "array<string>") | dict.fromkeys(_CONSTRAINT_FIELDS[4:6], "boolean")
-    return "struct<" + ",".join(f"{f}:{types.get(f, 'string')}" for f in fields) + ">"
+#: What a field's value may be, and how it is read; fields that are not named are texts.
+_FALSE, _TRUE = ("0", "off", "f", "false", "n", "no"), ("1", "on", "t", "true", "y", "yes")
+
+
+def _whole_number(v: Column) -> Column:
+    """A whole number, also as a text or as a fraction of nothing, or a truth value as 0 or 1."""
+    plain = F.try_variant_get(v, "$", "double")
+    number = F.when(json_kind(v) == "string", F.regexp_extract(F.trim(json_text(v)), r"^([+-]?[0-9]+)$", 1).try_cast("int")).when(json_kind(v) == "boolean", plain.cast("int"))
+    return number.when(json_kind(v) == "number", F.when(plain == F.floor(plain), plain.try_cast("int")))
+
+
+def _truth(v: Column) -> Column:
+    """A truth value, also as one of the usual words or as 0 or 1."""
+    word = F.when(json_kind(v) == "string", F.lower(json_text(v))).otherwise(F.try_variant_get(v, "$", "string"))
+    return F.when(json_kind(v) == "boolean", F.try_variant_get(v, "$", "boolean")).when(json_kind(v).isin("string", "number"), F.when(word.isin(*_TRUE), True).when(word.isin(*_FALSE), False))
+
+
+def _field(item: Column, name: str, nullable: tuple[str, ...], numbers: tuple[str, ...]) -> tuple[Column, Column]:
+    """(value, whether its type is allowed) of a field of an item, a map of variants."""
+    v = F.try_element_at(item, F.lit(name))
+    if name in ("evidence", "notes", *_CONSTRAINT_FIELDS[:4]):
+        value = json_texts(v)
+    elif name in _CONSTRAINT_FIELDS[4:6]:
+        value = _truth(v)
+    elif name in numbers:
+        value = _whole_number(v)
+    elif name == "confidence":
+        value = F.when(json_kind(v) == "boolean", F.try_variant_get(v, "$", "int").cast("string")).when(json_kind(v).isin("string", "number"), F.try_variant_get(v, "$", "string"))
+    else:
+        value = json_text(v)
+    fits = value.isNotNull()
+    return value, (fits | (json_kind(v) == "null")) if name in (*nullable, *numbers, *_CONSTRAINT_FIELDS[4:6]) else fits
+
+
+def _read_item(item: Column, fields: tuple[str, ...], rule: Callable[[Column], Column], nullable: tuple[str, ...], numbers: tuple[str, ...] = ()) -> Column:
+    """Whether an item, a map of variants, has fields of the right types and meets `rule`."""
+    typed, read = F.lit(True), []
+    for name in fields:
+        value, fits = _field(item, name, nullable, numbers)
+        typed, read = typed & F.coalesce(fits, F.lit(False)), [*read, value.alias(name)]
+    return typed & rule(F.struct(*read))
 
 
 def _same_keys(keys: Column, fields: tuple[str, ...]) -> Column:
@@ -139,30 +178,38 @@ def _same_keys(keys: Column, fields: tuple[str, ...]) -> Column:
 
 
 def _closed_to(fields: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda m: _same_keys(F.map_keys(m), fields)
+    return lambda m: F.coalesce(_same_keys(F.map_keys(m), fields), F.lit(False))
+
+
+def _reading(fields: tuple[str, ...], rule: Callable[[Column], Column], nullable: tuple[str, ...]) -> Callable[[Column], Column]:
+    return lambda m: _read_item(m, fields, rule, nullable)
+
 
+_Rule = tuple[tuple[str, ...], Callable[[Column], Column]]
 
-def _checked(payloads: DataFrame, lists: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]], items: dict[str, tuple[tuple[str, ...], Callable[[Column], Column]]]) -> DataFrame:
-    """Adds `error`; `lists` and `items` give the fields and the rule of each list of items and each single item."""
+
+def _checked(payloads: DataFrame, lists: dict[str, _Rule], items: dict[str, _Rule], nullable: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `error`; `lists` and `items` give the fields and the rule of each list of items and each single item.
+
+    A payload is JSON from end to end, and types count: a number is no name. `nullable` fields of lists and `value` of items may be null.
+    """
     names = (*lists, *items)
-    fields = F.from_json("payload", "map<string,string>")
-    schema = ", ".join([f"{k} array<{_struct_of(f)}>" for k, (f, _) in lists.items()] + [f"{k} {_struct_of(f)}" for k, (f, _) in items.items()])
-    parsed = payloads.withColumn("_m", fields).withColumn("_p", F.from_json("payload", schema))
+    parsed = payloads.withColumn("_m", F.try_variant_get(strict_json(F.col("payload")), "$", "map<string,variant>"))
     keys, expected = F.map_keys("_m"), F.array(*(F.lit(k) for k in names))
     closed, valid = F.lit(True), F.lit(True)
     for k, (of, rule) in lists.items():
-        own = F.from_json(F.try_element_at("_m", F.lit(k)), "array<map<string,string>>")
+        own = F.transform(F.try_variant_get(F.try_element_at("_m", F.lit(k)), "$", "array<variant>"), lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
         closed = closed & F.coalesce(F.forall(own, _closed_to(of)), F.lit(False))
-        valid = valid & F.coalesce(F.forall(F.col("_p")[k], rule), F.lit(False))
+        valid = valid & F.coalesce(F.forall(own, _reading(of, rule, nullable)), F.lit(False))
     for k, (of, rule) in items.items():
-        own = F.from_json(F.try_element_at("_m", F.lit(k)), "map<string,string>")
+        own = F.try_variant_get(F.try_element_at("_m", F.lit(k)), "$", "map<string,variant>")
         closed = closed & F.coalesce(_same_keys(F.map_keys(own), of), F.lit(False))
-        valid = valid & rule(F.col("_p")[k])
+        valid = valid & _read_item(own, of, rule, ("value",), ("value",) if k in numbers else ())
     error = (
         F.when(keys.isNull(), "bad_json").when(F.size(F.array_except(expected, keys)) > 0, "missing_fields").when(F.size(F.array_except(keys, expected)) > 0, "unknown_fields")
         .when(~closed, "item_fields").when(~valid, "invalid_item")
     )
-    return parsed.withColumn("error", error).drop("_p", "_m")
+    return parsed.withColumn("error", error).drop("_m")
 
 
 _FEATURE_FIELDS = ("name", "requirement_level", "confidence", "evidence")
@@ -171,7 +218,8 @@ _FEATURE_FIELDS = ("name", "requirement_level", "confidence", "evidence")
 def checked_payloads(payloads: DataFrame) -> DataFrame:
     """Adds `error` to `payloads` (job_id, payload): null, or bad_json, missing_fields, unknown_fields, item_fields, invalid_item.
 
-    The schema is closed, that of the items too: keys are compared with the expected ones both ways. Bad records are marked, never raised, so
+    A payload is one JSON object from end to end; text after it, single quotes or a name that is no string are errors. The schema is closed, that of
+    the items too: keys are compared with the expected ones both ways. Bad records are marked, never raised, so
     others go on. A list or item that is null is of wrong fields.
     """
     features = (_FEATURE_FIELDS, lambda x: valid_item(x, W.REQUIREMENT, "requirement_level"))
@@ -186,7 +234,7 @@ def checked_profiles(profiles: DataFrame) -> DataFrame:
         "seniority": (_VALUE_FIELDS, valid_seniority), "years_experience_total": (_VALUE_FIELDS, valid_years),
         "candidate_constraints": (_CONSTRAINT_FIELDS, lambda x: valid_constraints(cleaned_constraints(x))),
     }
-    return _checked(profiles, lists, items)
+    return _checked(profiles, lists, items, ("level",), ("years_experience_total",))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

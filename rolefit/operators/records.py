@@ -27,9 +27,9 @@ def page_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     read = pages.select(
         "url", F.coalesce(F.nullif(normalized(F.col("title")), F.lit("")), X.page_title(html)).alias("title"), F.sort_array(F.coalesce("disciplines", F.array().cast("array<string>"))).alias("disciplines"),
-        P.job_metadata(P.job_tags(html), P.job_posting(html)).alias("meta"), X.page_description(html).alias("description_text"),
-        *(P.labelled_value(html, label).alias(name) for name, label in LABELS.items()),
+        P.read_page(html, LABELS).alias("page"), P.job_posting(html).alias("posting"), X.page_description(html).alias("description_text"),
     )
+    read = read.select("*", P.job_metadata(F.col("page.tags"), F.col("posting")).alias("meta"), *(F.col(f"page.{name}").alias(name) for name in LABELS))
     told = read.select(
         "*", X.experience_fields(F.col("work_experience"), F.col("description_text")).alias("years"), F.coalesce("meta.educational_background", "education").alias("educational_background"),
         X.hours_per_week(F.col("description_text")).alias("hours"), X.work_location(F.col("description_text")).alias("place"), X.recruiter_contact(F.col("description_text")).alias("recruiter"),

@@ -61,15 +61,20 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vacancy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a vacancy page: (page_id, url, host, title, disciplines, html), with tags, JSON-LD and labels before the page's own markup."""
+    """Every page as a vacancy page: (page_id, url, host, title, disciplines, html), with tags, JSON-LD and labels before the page's own markup.
+
+    Some of it is malformed or out of place: tags outside the wrapper, odd quotes, elements without an end, character references, JSON-LD with text
+    after it or single quotes, a label that an element without the value holds first.
+    """
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    tags = """concat('<div class="job-tags-wrapper">', if(page_id % 3 <> 0, concat('<span class="job-tag" data-type=" Location "><i></i><span class="job-tag-value"> ', host, ' </span></span>'), ''),
+    tags = """concat('<b class="job-tag" title="Location"><i class="job-tag-value">Outside</i></b><p title=it\\'s><div class="job-tags-wrapper"><div>', if(page_id % 3 <> 0, concat('<span class="job-tag" data-type=" Location "><i></i><span class="job-tag-value"> ', host, ' </span></span>'), ''),
       if(page_id % 4 = 0, '<span class="tag job-tag" title="Education  Level"><span class="job-tag-value">Master</span></span>', ''),
-      if(page_id % 5 = 0, '<b class="job-tag" title="Employment"><i class="job-tag-value">Part time</i></b><b class="job-tag" title="employment"><i class="job-tag-value">Full  time</i></b>', ''), '</div>')"""
-    ld = """if(page_id % 7 = 0, '', concat('<script type="application/ld+json">{bad</script>', if(page_id % 7 = 1, '', concat('<script type="application/ld+json">[{"@type":"Thing"},{"@type":" jobposting",
+      if(page_id % 5 = 0, '<b class="job-tag" title="Employment"><i class="job-tag-value">Part time</i></b><b class="job-tag" title="employment"><i class="job-tag-value">Full&#32; &#x74;ime</i></b>', ''), '</div></div>', '<b class="job-tag" title="Education level"><i class="job-tag-value">After</i></b>')"""
+    ld = """if(page_id % 7 = 0, '', concat('<script type="application/ld+json">{bad</script><script type="application/ld+json">{"@type":"JobPosting","employmentType":"A"} junk</script>
+      <script type="application/ld+json">{\\'@type\\':\\'JobPosting\\'}</script>', if(page_id % 7 = 1, '', concat('<script type="application/ld+json">[{"@type":"Thing"},{"@type":" jobposting",
       "jobLocation":{"address":{"addressLocality":"Site ', page_id % 13, '","addressCountry":"NL"}},"employmentType":"FULL_TIME"}]</script>'))))"""
     labels = """concat('<ul>', if(page_id % 2 = 0, concat('<li><span>Work experience</span><span>: ', page_id % 9 + 1, ' - ', page_id % 9 + 3, ' years</span></li>'), ''),
-      if(page_id % 6 = 1, concat('<li><b>Team</b> <i>Team ', host, '</i></li>'), ''), '</ul>')"""
+      if(page_id % 12 = 7, '<li><a>Jobs</a><a>Team</a></li>', ''), if(page_id % 6 = 1, concat('<li><div><b> Team </b><p> Team <u>', host, '</u></div></li>'), ''), '</ul>')"""
     main = """concat('<main><p>', host, ' builds systems for the semiconductor and medical industries. A Bachelor degree is asked for.</p><p>We offer ', page_id % 9 + 24, '-40 hours per week with room to work from home.</p>',
       '<p>From our office and at our clients\\' sites, you will work on challenging projects in the North region for all that we do there.</p></main>')"""
     rows = table(spark, sf_dir, "pages").withColumn("host", host)

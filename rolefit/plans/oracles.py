@@ -214,7 +214,7 @@ _SQL = {
     "page_metadata": f"""WITH {_PAGES} SELECT m AS page_id, CASE WHEN m % 3 <> 0 THEN host WHEN m % 7 > 1 THEN 'Site ' || (m % 13) END AS location, CASE WHEN m % 7 > 1 THEN 'NL' END AS country,
       CASE WHEN m % 4 = 0 THEN 'Master' END AS educational_background, CASE WHEN m % 5 = 0 THEN 'Full time' WHEN m % 7 > 1 THEN 'FULL_TIME' END AS fulltime_parttime FROM pg""",
     "page_records": f"""WITH {_PAGES} SELECT job_id, url, 'Vacancy ' || m AS title, 'ai|software' AS disciplines, CASE WHEN m % 3 <> 0 THEN host WHEN m % 7 > 1 THEN 'Site ' || (m % 13) END AS location,
-      CASE WHEN m % 6 = 1 THEN 'Team ' || host END AS team, CASE WHEN m % 2 = 0 THEN (m % 9 + 1) || ' - ' || (m % 9 + 3) || ' years' END AS work_experience, CASE WHEN m % 2 = 0 THEN CAST(m % 9 + 1 AS INT) END AS min_years_experience,
+      CASE WHEN m % 12 = 1 THEN 'Team ' || host END AS team, CASE WHEN m % 2 = 0 THEN (m % 9 + 1) || ' - ' || (m % 9 + 3) || ' years' END AS work_experience, CASE WHEN m % 2 = 0 THEN CAST(m % 9 + 1 AS INT) END AS min_years_experience,
       CASE WHEN m % 2 = 0 THEN CAST(m % 9 + 3 AS INT) END AS max_years_experience, CASE WHEN m % 4 = 0 THEN 'Master|Bachelor' ELSE 'Bachelor' END AS degrees, 'Semiconductor|Medical' AS domains, CAST(m % 9 + 24 AS INT) AS min_hours_per_week,
       40 AS max_hours_per_week, 'Hybrid' AS remote_policy, 'From our office and at our clients'' sites' AS work_locations_text, true AS client_site_required, 'North region' AS travel_region FROM pg""",
     "assembled_jobs": f"""WITH {_CONSTRAINED} SELECT job_id, 1 AS skills, source AS skill, CASE WHEN m % 2 = 1 THEN 'required' ELSE 'preferred' END AS level, lang AS evidence, 'llm' AS source_kind,

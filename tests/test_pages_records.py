@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,62 @@ def test_requirement_lines(spark):
     assert all((r.r.required, r.r.preferred, r.l.required) == ([], [], []) for r in rows[1:])
 
 
+def test_typed_profiles(spark):
+    def profile(**parts):
+        years, wishes = {"value": 3, "confidence": 1, "evidence": ["e"]}, dict.fromkeys(("preferred_locations", "excluded_locations", "preferred_workplace_types", "excluded_workplace_types", "notes"), [])
+        wishes |= {"requires_visa_sponsorship": None, "avoid_export_control_roles": None, "confidence": 0, "evidence": ["e"]}
+        own = dict.fromkeys(("skills", "languages", "protocols", "standards", "domains"), []) | {"seniority": {"value": None, "confidence": 0, "evidence": []}, "years_experience_total": years, "candidate_constraints": wishes}
+        for name, value in parts.items():
+            own[name] = own[name] | value if isinstance(own[name], dict) else value
+        return json.dumps(own)
+
+    spoken = {"name": "nl", "level": None, "confidence": 1, "evidence": ["e"]}
+    cases = [
+        (profile(), None), (profile(languages=[spoken]), None), (profile(languages=[spoken | {"level": 5}]), "invalid_item"), (profile(languages=[spoken | {"name": None}]), "invalid_item"),
+        (profile(years_experience_total={"value": "4"}), None), (profile(years_experience_total={"value": 4.0}), None), (profile(years_experience_total={"value": 4.5}), "invalid_item"),
+        (profile(years_experience_total={"value": "many"}), "invalid_item"), (profile(years_experience_total={"value": -1}), "invalid_item"), (profile(years_experience_total={"value": None}), None),
+        (profile(candidate_constraints={"requires_visa_sponsorship": "yes"}), None), (profile(candidate_constraints={"requires_visa_sponsorship": "maybe"}), "invalid_item"),
+        (profile(candidate_constraints={"requires_visa_sponsorship": 1}), None), (profile(candidate_constraints={"notes": "x"}), "invalid_item"), (profile(candidate_constraints={"notes": [None]}), "invalid_item"),
+    ]
+    df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(cases)], "candidate_id int, payload string")
+    assert [r.error for r in merge.checked_profiles(df).orderBy("candidate_id").collect()] == [e for _, e in cases]
+
+
+def test_structural_reading(spark):
+    tag = lambda key, value, more="": f'<b class="job-tag" title="{key}"{more}><i class="job-tag-value">{value}</i></b>'
+    pages = {
+        tag("Location", "A"): ({}, None), f"<div class='job-tags-wrapper x'><p>{tag('Location', 'A')}</div>{tag('Location', 'B')}": ({"location": "A"}, None),
+        f"<div class=job-tags-wrapper>{tag('x', 'A', ' data-type= Y')}<b class=job-tag title=z><i></i></b></div>": ({"y": "A"}, None),
+        f"<div class=job-tags-wrapper><div>{tag('k', 'a <b>b</b>c&eacute;&#33;<br>d<script>e</script>')}": ({"k": "a bcé! d"}, None),
+        "<li><a>Jobs</a><a>Team</a></li><li><b>Team</b> <i>Core</i></li>": ({}, None), "<span>Team</span><div><div><b>Core</b> group</div></div>": ({}, "Core group"),
+        "<ul><li><b>\n Team </b><li>next</ul>": ({}, None), "<ul><li><p><b>Team</b><p>x</ul>": ({}, None), "<div><b>Team</b>: <u>x</u> &amp;<!-- no --> y</div>z": ({}, "x & y"), "<div><b>Team</b>s</div><div><b>Team</b>: x</div>": ({}, "s"),
+        "<div><b>team</b> x</div>": ({}, None), "<p title=it's><div><b>Team</b> x</div>": ({}, "x"), "<div><script>Team</script><b>Team</b> x": ({}, "x"), "": ({}, None), "<": ({}, None), None: (None, None),
+    }
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string").select("k", P.read_page(F.col("html"), {"team": "Team"}).alias("r"))
+    assert [(r.r.tags, r.r.team) for r in df.orderBy("k").collect()][:-1] == list(pages.values())[:-1]
+
+
+def test_broken_markup_takes_linear_time(spark):
+    for piece in ("<div>", "<a ", "<div><p>a", "<!--", "<script>", "</x>", "<p title='", "<b class=\"job-tag job-tags-wrapper", "&#"):
+        html = "<i class=job-tags-wrapper>Team</i>" + piece * (20_000 // len(piece))
+        df = spark.createDataFrame([(html,)], "html string").select(P.read_page(F.col("html"), {"team": "Team"}).alias("r"))
+        start = time.time()
+        df.collect()
+        assert time.time() - start < 20, piece
+
+
+def test_json_ld_is_strict(spark):
+    block = lambda x: f"<script type='application/ld+json'>{x}</script>"
+    good = '{"@type":"JobPosting","employmentType":"B","jobLocation":{"address":{"addressLocality":"T","addressCountry":null}}}'
+    pages = {
+        block('{"@type":"JobPosting","employmentType":"A"} junk') + block(good): ("T", "None", "B"), block("{'@type':'JobPosting'}") + block(good): ("T", "None", "B"), block(f"[1, null, {good}]"): ("T", "None", "B"),
+        block('{"@type":["JobPosting"]}') + block(good): ("T", "None", "B"), block('{"@type":"JobPosting","employmentType":["A","B"],"jobLocation":[1]}'): (None, None, "['A', 'B']"),
+        block('{"@type":" jobposting ","employmentType":true,"jobLocation":{"address":"x"}}'): (None, None, "True"), block("5") + block('"x"'): (None, None, None),
+    }
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, html string").select("k", P.job_posting(F.col("html")).alias("r"))
+    assert [tuple(r.r) for r in df.orderBy("k").collect()] == list(pages.values())
+
+
 def _item(name="x", level="required", confidence=0.5, evidence=("e",), **more):
     return {"name": name, "requirement_level": level, "confidence": confidence, "evidence": list(evidence)} | more
 
@@ -48,6 +105,10 @@ def test_payload_errors(spark):
         (_payload(restrictions=[{"value": "EU", "confidence": 1, "evidence": ["e"]}]), None), (_payload(restrictions=[{"value": "EU", "confidence": 1, "evidence": []}]), "invalid_item"),
         (_payload(restrictions=[{"value": " ", "confidence": 1, "evidence": ["e"]}]), "invalid_item"), (_payload(seniority={"value": "Lead ", "confidence": 1, "evidence": ["e"]}), None),
         (_payload(seniority={"value": "lead", "confidence": 1, "evidence": []}), "invalid_item"), (_payload(seniority={"value": "chief", "confidence": 1, "evidence": ["e"]}), "invalid_item"),
+        (_payload() + " junk", "bad_json"), (_payload() + "{}", "bad_json"), (_payload().replace('"', "'"), "bad_json"), ("[" + _payload() + "]", "bad_json"), (_payload() + "]", "bad_json"),
+        (_payload(skills=[_item(name=5)]), "invalid_item"), (_payload(skills=[_item(name=None)]), "invalid_item"), (_payload(skills=[_item(level=1)]), "invalid_item"), (_payload(skills=[_item(evidence=("e", 1))]), "invalid_item"),
+        (_payload(skills=[_item(confidence="0.5 ")]), None), (_payload(skills=[_item(confidence=True)]), None), (_payload(skills=[_item(confidence=[1])]), "invalid_item"), (_payload(skills=[_item(confidence="x")]), "invalid_item"),
+        (_payload(skills=["x"]), "item_fields"), (_payload(skills={}), "item_fields"), (_payload(seniority={"value": 3, "confidence": 1, "evidence": ["e"]}), "invalid_item"),
         (_payload(seniority=None), "item_fields"), (_payload(skills=None), "item_fields"), ("{", "bad_json"), ("{}", "missing_fields"), (_payload(other=1), "unknown_fields"), (None, "bad_json"),
     ]
     df = spark.createDataFrame([(k, p) for k, (p, _) in enumerate(cases)], "job_id int, payload string")
