@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
@@ -67,20 +68,29 @@ def bare(word: bytes) -> bytes:
     return word.strip(PUNCTUATION).lower()
 
 
-def repeated_window_words(words: list[bytes], size: int = 3) -> int:
-    """How many of `words` lie in a window of `size` words that is found twice or more."""
-    if len(words) < size:
-        return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    keys = ids[: len(ids) - size + 1]
-    for k in range(1, size):
-        keys = np.unique(keys * len(numbers) + ids[k : len(ids) - size + 1 + k], return_inverse=True)[1].astype(np.int64)
-    again = np.bincount(keys)[keys] > 1
-    covered = np.zeros(len(words) + 1, np.int64)
-    np.add.at(covered, np.flatnonzero(again), 1)
-    np.add.at(covered, np.flatnonzero(again) + size, -1)
-    return int((np.cumsum(covered)[:-1] > 0).sum())
+def repeated_window_words(texts: list[list[bytes]], size: int = 3) -> np.ndarray:
+    """For each text, how many of its words lie in a window of `size` words that it holds twice or more."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    at = np.flatnonzero(text[size - 1 :] == text[: len(text) - size + 1]) if len(text) >= size else np.empty(0, np.int64)
+    keys, most = text[at], len(texts)
+    for k in range(size):
+        if most * len(numbers) >= 1 << 62:  # numbered anew, to stay within 64 bits
+            keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+            most = len(keys)
+        keys, most = keys * len(numbers) + ids[at + k], most * len(numbers)
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0
+    again = np.zeros(len(keys), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    covered = np.zeros(len(ids) + 1, np.int64)
+    for k in range(size):
+        covered[at[again] + k] = 1
+    ends = np.cumsum(sizes)
+    total = np.concatenate([[0], np.cumsum(covered)])
+    return total[ends] - total[ends - sizes]
 
 
 def repeated_lines(text: bytes) -> int:
@@ -89,14 +99,20 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def _entropy(shares: np.ndarray) -> np.ndarray:
+    return -(shares * np.log2(np.maximum(shares, 1e-300))).sum(axis=-1)
+
+
 def divergence(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (root of the divergence to base 2) of histograms of counts, one for all or one for each row, from `references`, rows that sum to 1."""
+    """(texts, languages) Jensen-Shannon distances, roots of divergences to base 2: of counts (texts, languages or 1, bins) from shares (languages, bins)."""
     p = counts / counts.sum(axis=-1, keepdims=True)
-    middle = (p + references) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / middle), 0.0).sum(axis=1)
-        right = np.where(references > 0, references * np.log2(references / middle), 0.0).sum(axis=1)
-    return np.sqrt(np.clip((left + right) / 2, 0, 1))
+    return np.sqrt(np.clip(_entropy((p + references) / 2) - (_entropy(p) + _entropy(references)) / 2, 0, 1))
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The words of each row."""
+    whole = data.tobytes()
+    return [whole[a:b].split() for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True)]
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -112,27 +128,52 @@ class References(NamedTuple):
     shares: np.ndarray
 
 
-def distances(words: list[bytes], chars: np.ndarray, near: References, rules: Rules) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """Distances by classes and by words from each language; None where a guard leaves them out."""
-    char_d = divergence(chars, near.classes) if near.langs and int(chars.sum()) >= rules.least_chars else None
-    if not near.langs or len(words) < rules.least_words:
-        return char_d, None
-    own, counts = Counter(map(bare, words)), np.zeros(near.shares.shape, np.int64)
-    for k, places in enumerate(near.words):
-        for word in places.keys() & own.keys():
-            counts[k, places[word]] = own[word]
-    counts[:, -1] = len(words) - counts.sum(axis=1)
-    return char_d, divergence(counts, near.shares)
+class CommonWords(dict):
+    """Numbers words by their bare forms: those that are common in some language, and one number for all others; `of` has each language's numbers by place."""
+
+    #: Words that it keeps; a full one starts anew.
+    MOST = 500_000
+
+    def __init__(self, near: References) -> None:
+        super().__init__()
+        self._bare: dict[bytes, int] = {}
+        for words in near.words:
+            for word in words:
+                self._bare.setdefault(word, len(self._bare))
+        self.of = np.full((len(near.langs), near.shares.shape[1] - 1), len(self._bare) + 1)
+        for k, words in enumerate(near.words):
+            for word, place in words.items():
+                self.of[k, place] = self._bare[word]
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        number = self[word] = self._bare.get(bare(word), len(self._bare))
+        return number
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """For each language how often its common words are among `words`, then all others."""
+        own = np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=len(self._bare) + 2)
+        common = own[self.of]
+        return np.concatenate([common, len(words) - common.sum(axis=1, keepdims=True)], axis=1)
+
+
+def distances(words: list[list[bytes]], chars: np.ndarray, near: References, common: CommonWords, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) distances by classes and by words; NaN where a guard leaves them out."""
+    char_d, word_d = np.full((2, len(words), len(near.langs)), np.nan)
+    n_chars, n_words = chars.sum(axis=1), np.fromiter(map(len, words), np.int64, len(words))
+    a_time = max(1, (1 << 20) // max(1, near.shares.size))  # texts, to bound the arrays
+    for d, who in ((char_d, np.flatnonzero(n_chars >= rules.least_chars)), (word_d, np.flatnonzero(n_words >= rules.least_words))):
+        for first in range(0, len(who) if near.langs else 0, a_time):
+            own = who[first : first + a_time]
+            d[own] = divergence(chars[own, None], near.classes) if d is char_d else divergence(np.stack([common.counts(words[k]) for k in own.tolist()]), near.shares)
+    return char_d, word_d
 
 
-def fitting(char_d: np.ndarray | None, word_d: np.ndarray | None, n_words: int, near: References, rules: Rules, loose: float = 1.0) -> np.ndarray:
-    """Which languages are near enough."""
-    fits = np.ones(len(near.langs), bool)
-    if char_d is not None:
-        fits &= char_d <= loose * rules.char_distance
-    if word_d is not None:
-        fits &= word_d <= loose * np.sqrt(rules.word_distance**2 + rules.sampling * rules.common_words / (8 * np.log(2) * n_words))
-    return fits
+def fitting(char_d: np.ndarray, word_d: np.ndarray, n_words: np.ndarray, rules: Rules, loose: float = 1.0) -> np.ndarray:
+    """(texts, languages) whether a language is near enough; a distance that was left out fits."""
+    allowed = np.sqrt(rules.word_distance**2 + rules.sampling * rules.common_words / (8 * np.log(2) * np.maximum(n_words, 1)))[:, None]
+    return ~(char_d > loose * rules.char_distance) & ~(word_d > loose * allowed)
 
 
 def _counting(sent, rules: Rules):
@@ -140,6 +181,7 @@ def _counting(sent, rules: Rules):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, words, classes = sent and sent.value, defaultdict(Counter), defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+        common = near and CommonWords(near)
 
         def flush() -> pa.RecordBatch:
             rows = [(lang, "class", name.encode(), n) for lang, own in classes.items() for name, n in zip(CLASSES, own.tolist(), strict=True)]
@@ -156,12 +198,13 @@ def _counting(sent, rules: Rules):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, end, data, offsets in text_chunks(batch.column("text")):
-                whole = data.tobytes()
-                for lang, chars, a, b in zip(langs[first:end], class_counts(data, offsets), offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True):
-                    own = whole[a:b].split()
-                    if near is None or fitting(*distances(own, chars, near, rules), len(own), near, rules, rules.loose).any():
-                        classes[lang] += chars
-                        words[lang].update(own)
+                texts, chars = _split(data, offsets), class_counts(data, offsets)
+                taken = np.ones(len(texts), bool)
+                if near is not None:
+                    taken = fitting(*distances(texts, chars, near, common, rules), np.fromiter(map(len, texts), np.int64, len(texts)), rules, rules.loose).any(axis=1)
+                for lang, own, held in compress(zip(langs[first:end], chars, texts, strict=True), taken.tolist()):
+                    classes[lang] += own
+                    words[lang].update(held)
                 if sum(map(len, words.values())) > FLUSH_WORDS:
                     yield flush()
         yield flush()
@@ -211,28 +254,30 @@ def judge(docs: DataFrame, known: References, rules: Rules = Rules(), id_col: st
     """
     sent = docs.sparkSession.sparkContext.broadcast(known)  # most_languages x (classes + common_words) numbers at most
 
-    def one(text: bytes, chars: np.ndarray, near: References) -> tuple:
-        words = text.split()
-        repeats = repeated_window_words(words)
-        failed = len(words) < rules.least_words or 100 * repeats > rules.repeat_percent * len(words)
-        figures = (len(words), int(chars[1:].sum()), int(chars[CLASSES.index("symbol")]), repeated_lines(text), repeats, failed)
-        char_d, word_d = distances(words, chars, near, rules)
-        if char_d is None and word_d is None:
-            return (*figures, not failed, None, None, None)
-        best = int(np.argmin(np.round(sum(d for d in (char_d, word_d) if d is not None), 9)))
-        fits = bool(fitting(char_d, word_d, len(words), near, rules).any())
-        return (*figures, fits and not failed, near.langs[best], *(None if d is None else round(float(d[best]), 4) for d in (char_d, word_d)))
+    def figures(data: np.ndarray, offsets: np.ndarray, near: References, common: CommonWords) -> list[pa.Array]:
+        words, chars, whole = _split(data, offsets), class_counts(data, offsets), data.tobytes()
+        n_words, repeats = np.fromiter(map(len, words), np.int64, len(words)), repeated_window_words(words)
+        lines = [repeated_lines(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True)]
+        failed = (n_words < rules.least_words) | (100 * repeats > rules.repeat_percent * n_words)
+        base = [n_words, chars[:, 1:].sum(axis=1), chars[:, CLASSES.index("symbol")], lines, repeats]
+        char_d, word_d = distances(words, chars, near, common, rules)
+        none = np.full(len(words), np.nan)
+        if near.langs:
+            best = np.argmin(np.round(np.nan_to_num(char_d) + np.nan_to_num(word_d), 9), axis=1)
+            kept, rows = ~failed & fitting(char_d, word_d, n_words, rules).any(axis=1), np.arange(len(words))
+            char_d, word_d = char_d[rows, best], word_d[rows, best]
+            nearest = [near.langs[k] if known else None for k, known in zip(best.tolist(), (~np.isnan(char_d) | ~np.isnan(word_d)).tolist(), strict=True)]
+        else:
+            kept, nearest, char_d, word_d = ~failed, [None] * len(words), none, none
+        rounded = [pa.array(np.round(d, 4), pa.float64(), from_pandas=True) for d in (char_d, word_d)]
+        return [*(pa.array(c, pa.int64()) for c in base), pa.array(failed), pa.array(kept), pa.array(nearest, pa.string()), *rounded]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = sent.value
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.float64(), pa.float64()]
+        near, common = sent.value, CommonWords(sent.value)
         names = [x.split()[0] for x in _FIGURES.split(", ")]
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column("text")):
-                whole = data.tobytes()
-                rows = [one(whole[a:b], chars, near) for chars, a, b in zip(class_counts(data, offsets), offsets[:-1].tolist(), (offsets[1:] - 1).tolist(), strict=True)]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), *columns], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, end - first), *figures(data, offsets, near, common)], names=names)
 
     return mapped(_read(docs, id_col, text_col, lang_col).select("doc_id", "text"), work, _FIGURES)
 
