@@ -40,7 +40,7 @@ def read_page(html: Column, labels: dict[str, str] | None = None) -> Column:
     def read(stream: Column, s: Column) -> Column:
         entries = F.transform(s.tags, lambda t: F.struct(_tag_key(F.get(stream, t.at - 1).tag).alias("key"), F.coalesce(text_of(stream, t.first, t.last), F.lit("")).alias("value")))
         filled = F.filter(entries, lambda e: (e.key != "") & (e.value != ""))
-        tags = F.map_from_entries(F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later.key == e.key)))
+        tags = let(filled, lambda own: F.map_from_entries(F.filter(own, lambda e, i: ~F.exists(F.slice(own, i + 2, F.size(own)), lambda later: later.key == e.key))))
         places = [F.get(s.labels, F.lit(k)) for k in range(len(labels))]
         values = [_after_label(text_of(stream, x.first, x.last), label).alias(name) for x, (name, label) in zip(places, labels.items(), strict=True)]
         return F.struct(tags.alias("tags"), *values)

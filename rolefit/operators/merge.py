@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolefit.functions import weights as W
+from rolefit.functions.markup import let
 from rolefit.functions.strict import json_kind, json_text, json_texts, strict_json
 from rolefit.functions.text import deduped_texts, name_or_empty, parsed_confidence, workplace_type
 
@@ -146,30 +147,37 @@ def _truth(v: Column) -> Column:
     return F.when(json_kind(v) == "boolean", F.try_variant_get(v, "$", "boolean")).when(json_kind(v).isin("string", "number"), F.when(word.isin(*_TRUE), True).when(word.isin(*_FALSE), False))
 
 
-def _field(item: Column, name: str, nullable: tuple[str, ...], numbers: tuple[str, ...]) -> tuple[Column, Column]:
-    """(value, whether its type is allowed) of a field of an item, a map of variants."""
-    v = F.try_element_at(item, F.lit(name))
-    if name in ("evidence", "notes", *_CONSTRAINT_FIELDS[:4]):
-        value = json_texts(v)
-    elif name in _CONSTRAINT_FIELDS[4:6]:
-        value = _truth(v)
-    elif name in numbers:
-        value = _whole_number(v)
-    elif name == "confidence":
-        value = F.when(json_kind(v) == "boolean", F.try_variant_get(v, "$", "int").cast("string")).when(json_kind(v).isin("string", "number"), F.try_variant_get(v, "$", "string"))
-    else:
-        value = json_text(v)
-    fits = value.isNotNull()
-    return value, (fits | (json_kind(v) == "null")) if name in (*nullable, *numbers, *_CONSTRAINT_FIELDS[4:6]) else fits
+def _field(name: str, nullable: tuple[str, ...], numbers: tuple[str, ...]) -> Callable[[Column], Column]:
+    """struct(value, whether its type is allowed) of a field's variant."""
+
+    def read(v: Column) -> Column:
+        kind = json_kind(v)
+        if name in ("evidence", "notes", *_CONSTRAINT_FIELDS[:4]):
+            value = json_texts(v)
+        elif name in _CONSTRAINT_FIELDS[4:6]:
+            value = _truth(v)
+        elif name in numbers:
+            value = _whole_number(v)
+        elif name == "confidence":
+            value = F.when(kind == "boolean", F.try_variant_get(v, "$", "int").cast("string")).when(kind.isin("string", "number"), F.try_variant_get(v, "$", "string"))
+        else:
+            value = json_text(v)
+        empty = (kind == "null") if name in (*nullable, *numbers, *_CONSTRAINT_FIELDS[4:6]) else F.lit(False)
+        return F.struct(value.alias("value"), F.coalesce(value.isNotNull() | empty, F.lit(False)).alias("fits"))
+
+    return read
 
 
 def _read_item(item: Column, fields: tuple[str, ...], rule: Callable[[Column], Column], nullable: tuple[str, ...], numbers: tuple[str, ...] = ()) -> Column:
     """Whether an item, a map of variants, has fields of the right types and meets `rule`."""
-    typed, read = F.lit(True), []
-    for name in fields:
-        value, fits = _field(item, name, nullable, numbers)
-        typed, read = typed & F.coalesce(fits, F.lit(False)), [*read, value.alias(name)]
-    return typed & rule(F.struct(*read))
+
+    def judged(read: Column) -> Column:
+        typed = F.lit(True)
+        for name in fields:
+            typed = typed & read[name].fits
+        return typed & rule(F.struct(*(read[name].value.alias(name) for name in fields)))
+
+    return let(F.struct(*(let(F.try_element_at(item, F.lit(name)), _field(name, nullable, numbers)).alias(name) for name in fields)), judged)
 
 
 def _same_keys(keys: Column, fields: tuple[str, ...]) -> Column:
@@ -196,20 +204,21 @@ def _checked(payloads: DataFrame, lists: dict[str, _Rule], items: dict[str, _Rul
     names = (*lists, *items)
     parsed = payloads.withColumn("_m", F.try_variant_get(strict_json(F.col("payload")), "$", "map<string,variant>"))
     keys, expected = F.map_keys("_m"), F.array(*(F.lit(k) for k in names))
+    one = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    own = {f"_m_{k}": F.transform(F.try_variant_get(F.try_element_at("_m", F.lit(k)), "$", "array<variant>"), one) for k in lists} | {f"_m_{k}": one(F.try_element_at("_m", F.lit(k))) for k in items}
+    parsed = parsed.withColumns(own)
     closed, valid = F.lit(True), F.lit(True)
     for k, (of, rule) in lists.items():
-        own = F.transform(F.try_variant_get(F.try_element_at("_m", F.lit(k)), "$", "array<variant>"), lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
-        closed = closed & F.coalesce(F.forall(own, _closed_to(of)), F.lit(False))
-        valid = valid & F.coalesce(F.forall(own, _reading(of, rule, nullable)), F.lit(False))
+        closed = closed & F.coalesce(F.forall(f"_m_{k}", _closed_to(of)), F.lit(False))
+        valid = valid & F.coalesce(F.forall(f"_m_{k}", _reading(of, rule, nullable)), F.lit(False))
     for k, (of, rule) in items.items():
-        own = F.try_variant_get(F.try_element_at("_m", F.lit(k)), "$", "map<string,variant>")
-        closed = closed & F.coalesce(_same_keys(F.map_keys(own), of), F.lit(False))
-        valid = valid & _read_item(own, of, rule, ("value",), ("value",) if k in numbers else ())
+        closed = closed & F.coalesce(_same_keys(F.map_keys(f"_m_{k}"), of), F.lit(False))
+        valid = valid & F.coalesce(_read_item(F.col(f"_m_{k}"), of, rule, ("value",), ("value",) if k in numbers else ()), F.lit(False))
     error = (
         F.when(keys.isNull(), "bad_json").when(F.size(F.array_except(expected, keys)) > 0, "missing_fields").when(F.size(F.array_except(keys, expected)) > 0, "unknown_fields")
         .when(~closed, "item_fields").when(~valid, "invalid_item")
     )
-    return parsed.withColumn("error", error).drop("_m")
+    return parsed.withColumn("error", error).drop("_m", *own)
 
 
 _FEATURE_FIELDS = ("name", "requirement_level", "confidence", "evidence")

@@ -196,7 +196,17 @@ _SQL = {
       fold AS (SELECT job_key, name, level, confidence, pos, k FROM i WHERE k = 1 UNION ALL
         SELECT f.job_key, f.name, CASE WHEN i.confidence > f.confidence THEN coalesce(i.level, f.level) ELSE coalesce(f.level, i.level) END, greatest(f.confidence, i.confidence), f.pos, i.k FROM fold f JOIN i ON i.job_key = f.job_key AND i.name = f.name AND i.k = f.k + 1)
       SELECT job_key, name, arg_max(coalesce(level, ''), k) AS level, arg_max(confidence, k) AS confidence, min(pos) AS pos FROM fold GROUP BY job_key, name""",
-    "validate_payloads": "WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'missing_fields' WHEN event_id % 13 = 0 THEN 'unknown_fields' WHEN event_id % 17 = 0 THEN 'bad_json' WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'invalid_item' ELSE 'valid' END AS error FROM events) SELECT error, count(*) AS n, min(event_id) AS first_event FROM e GROUP BY error",
+    "validate_payloads": """WITH t AS (
+      SELECT event_id AS k, '{"skills":[{"name":' || CASE WHEN event_id % 19 = 0 THEN user_id::VARCHAR ELSE '"x' || user_id || '"' END || ',"requirement_level":"' || CASE WHEN event_id % 7 = 0 THEN 'maybe' ELSE 'required' END
+        || '","confidence":"' || CASE WHEN event_id % 5 = 0 THEN '1.5' ELSE '0.5' END || '","evidence":["e"' || CASE WHEN event_id % 23 = 0 THEN ',1' ELSE '' END
+        || ']}],"languages":[],"protocols":[],"standards":[],"domains":[],"restrictions":[]' || CASE WHEN event_id % 11 = 0 THEN '}' WHEN event_id % 13 = 0 THEN ',"seniority":{"value":null,"confidence":0,"evidence":[]},"extra":1}'
+        WHEN event_id % 17 = 0 THEN ',"seniority":' ELSE ',"seniority":{"value":null,"confidence":0,"evidence":[]}}' END || CASE WHEN event_id % 29 = 0 THEN ' {}' ELSE '' END AS p FROM events),
+      q AS (SELECT k, CASE WHEN k % 31 = 0 THEN replace(p, '"', chr(39)) ELSE p END AS p FROM t), j AS (SELECT k, CASE WHEN json_valid(p) THEN p::JSON END AS j FROM q),
+      f AS (SELECT k, j, list_sort(json_keys(j)) AS own, list_sort(['skills', 'languages', 'protocols', 'standards', 'domains', 'restrictions', 'seniority']) AS asked, j->'$.skills[0]' AS x FROM j),
+      e AS (SELECT k AS event_id, CASE WHEN j IS NULL THEN 'bad_json' WHEN len(list_filter(asked, lambda a: NOT list_contains(own, a))) > 0 THEN 'missing_fields' WHEN own <> asked THEN 'unknown_fields'
+        WHEN json_type(x, '$.name') <> 'VARCHAR' OR x->>'$.requirement_level' NOT IN ('required', 'preferred') OR (x->>'$.confidence')::DOUBLE NOT BETWEEN 0 AND 1
+          OR len(list_filter(json_extract(x, '$.evidence[*]'), lambda v: json_type(v) <> 'VARCHAR')) > 0 THEN 'invalid_item' ELSE 'valid' END AS error FROM f)
+      SELECT error, count(*) AS n, min(event_id) AS first_event FROM e GROUP BY error""",
     "snapshot_diff": f"WITH {_SNAPSHOTS} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' ELSE 'shared' END AS change FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey",
     "new_fields": f"WITH {_SNAPSHOTS} SELECT 'o_custkey' AS field, count(o_custkey) AS filled FROM n",
     "field_change_freq": f"""WITH {_SNAPSHOTS}, b AS (SELECT count(*) AS t, count(*) FILTER (o.o_orderstatus IS DISTINCT FROM n.o_orderstatus) AS c1, count(*) FILTER (o.o_totalprice IS DISTINCT FROM n.o_totalprice) AS c2, count(*) FILTER (o.o_orderpriority IS DISTINCT FROM n.o_orderpriority) AS c3 FROM o JOIN n ON o.o_orderkey = n.o_orderkey)

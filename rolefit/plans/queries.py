@@ -253,10 +253,16 @@ _LEVEL = ',"seniority":{"value":null,"confidence":0,"evidence":[]}'
 
 
 def _payloads(spark, sf_dir):
-    item = F.format_string('[{"name":"x%d","requirement_level":"%s","confidence":"%s","evidence":["e"]}]', "user_id", F.when(F.col("event_id") % 7 == 0, "maybe").otherwise("required"), F.when(F.col("event_id") % 5 == 0, "1.5").otherwise("0.5"))
+    """Payloads of events: some with a field too few or too many, an unknown level, a confidence out of range, a name or evidence that is no text, text
+    after the JSON, single quotes, or cut off."""
+    key = F.col("event_id")
+    name = F.when(key % 19 == 0, F.col("user_id").cast("string")).otherwise(F.format_string('"x%d"', "user_id"))
+    level, confidence = F.when(key % 7 == 0, "maybe").otherwise("required"), F.when(key % 5 == 0, "1.5").otherwise("0.5")
+    item = F.format_string('[{"name":%s,"requirement_level":"%s","confidence":"%s","evidence":["e"%s]}]', name, level, confidence, F.when(key % 23 == 0, ",1").otherwise(""))
     body = F.concat(F.lit('{"skills":'), item, F.lit(',"languages":[],"protocols":[],"standards":[],"domains":[],"restrictions":[]'))
-    end = F.when(F.col("event_id") % 11 == 0, "}").when(F.col("event_id") % 13 == 0, _LEVEL + ',"extra":1}').when(F.col("event_id") % 17 == 0, ',"seniority":').otherwise(_LEVEL + "}")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(body, end).alias("payload"))
+    end = F.when(key % 11 == 0, "}").when(key % 13 == 0, _LEVEL + ',"extra":1}').when(key % 17 == 0, ',"seniority":').otherwise(_LEVEL + "}")
+    whole = F.concat(body, end, F.when(key % 29 == 0, " {}").otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", F.when(key % 31 == 0, F.translate(whole, '"', "'")).otherwise(whole).alias("payload"))
 
 
 def validate_payloads(spark, sf_dir):
@@ -300,8 +306,8 @@ def hard_filters(spark, sf_dir):
 
 
 def page_metadata(spark, sf_dir):
-    rows = B.vacancy_pages(spark, sf_dir).select("page_id", P.job_metadata(P.job_tags(F.col("html")), P.job_posting(F.col("html"))).alias("m"))
-    return rows.select("page_id", "m.*")
+    parts = B.vacancy_pages(spark, sf_dir).select("page_id", P.job_tags(F.col("html")).alias("tags"), P.job_posting(F.col("html")).alias("posting"))
+    return parts.select("page_id", P.job_metadata(F.col("tags"), F.col("posting")).alias("m")).select("page_id", "m.*")
 
 
 def page_records(spark, sf_dir):
