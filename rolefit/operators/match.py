@@ -9,8 +9,6 @@ singular name (preferred_location, restriction, ...), or missing. Wide columns n
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,19 +187,61 @@ _EXACT = "decimal(28,12)"  # products of weights and confidences have at most 12
 _HALF = 1e-10  # so that a ratio that ends in a half at the seventh place is rounded up whatever its binary form
 
 
-def covered_pairs(index: DataFrame, items: DataFrame) -> DataFrame:
-    """(cand_key, job_key) where the candidate has all required features of a vacancy that has any: relational division.
+#: Rows of the candidates' index up to which each candidate's features are broadcast as a set; beyond, they meet by a merge join.
+BROADCAST_FEATURES = 1_000_000
+#: Words of 64 bits in a signature.
+SIGNATURE_WORDS = 4
+_WORDS = [f"w{k}" for k in range(SIGNATURE_WORDS)]
+
+
+def _placed(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """`rows` with the bit of their feature: its number where features are few enough to have one each, else from its hash."""
+    if numbers is not None:
+        return rows.join(F.broadcast(numbers), "feature", "left")
+    return rows.withColumn("bit", F.pmod(F.xxhash64("feature"), F.lit(64 * SIGNATURE_WORDS)).cast("int"))
+
+
+def _words() -> list[Column]:
+    """The signature of a group of features: words in which each sets its bit, so that a set can hold another only if it has all its bits."""
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    return [F.bit_or(F.when(F.floor(F.col("bit") / 64) == k, own).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(_WORDS)]
+
+
+def covered_sets(index: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((cand_key, set, jobs), (job_key, set)): which candidate has all of which set of required features, and the set of every vacancy that has any.
 
-    Every vacancy starts from the required feature that fewest candidates have, and only the pairs that this gives meet the others.
+    Vacancies that ask for the same set are one row. A set starts from its feature that fewest candidates have, so it never meets candidates without
+    it; for the others a signature tells. Where the candidates have no more features than a signature has bits, each feature has its own, and signatures are the sets; else
+    those that pass are compared name by name.
     """
-    asked = items.where("required").select("job_key", "bucket", "name").distinct()
-    holders = index.groupBy("bucket", "name").agg(F.count("*").alias("holders"))
-    rarest = asked.join(holders, ["bucket", "name"], "left").groupBy("job_key").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "bucket", "name")).alias("r"), F.count("*").alias("asked"))
-    held = index.select("cand_key", "bucket", "name")
-    begun = rarest.where("r.holders > 0").select("job_key", "asked", "r.bucket", "r.name").join(held, ["bucket", "name"]).select("cand_key", "job_key", "asked")
-    others = asked.join(rarest.select("job_key", "r.bucket", "r.name"), ["job_key", "bucket", "name"], "left_anti")
-    met = begun.where("asked > 1").join(others, "job_key").join(held, ["cand_key", "bucket", "name"]).groupBy("cand_key", "job_key").agg(F.count("*").alias("met"), F.first("asked").alias("asked"))
-    return begun.where("asked = 1").select("cand_key", "job_key").union(met.where("met = asked - 1").select("cand_key", "job_key"))
+    feature = F.concat_ws("\0", "bucket", "name").alias("feature")
+    held = index.select("cand_key", feature)
+    names = [r["feature"] for r in held.select("feature").distinct().limit(64 * SIGNATURE_WORDS + 1).collect()]
+    exact = len(names) <= 64 * SIGNATURE_WORDS
+    numbers = index.sparkSession.createDataFrame(list(zip(sorted(names), range(len(names)), strict=True)), "feature string, bit int") if exact else None
+    known = held.select("feature").distinct().withColumn("known", F.lit(1))
+    asked = items.where("required").select("job_key", feature).distinct().join(known.hint("merge") if not exact else F.broadcast(known), "feature", "left")
+    lists = [] if exact else [F.sort_array(F.collect_set("feature")).alias("need")]
+    of_job = _placed(asked, numbers).groupBy("job_key").agg(F.count_if(F.col("known").isNull()).alias("unheld"), *_words(), *lists).where("unheld = 0").drop("unheld")
+    key = _WORDS if exact else [*_WORDS, "need"]
+    sets = of_job.groupBy(*key).agg(F.count("*").alias("jobs"), F.min("job_key").alias("one"))
+    holders = held.groupBy("feature").agg(F.count("*").alias("holders"))
+    rarest = asked.join(sets.select(F.col("one").alias("job_key")), "job_key", "left_semi").join(holders, "feature").groupBy("job_key").agg(F.min_by("feature", "holders").alias("feature"))
+    begun = sets.join(rarest.withColumnRenamed("job_key", "one"), "one").join(held, "feature").drop("feature", "one")
+    own = _placed(held, numbers).groupBy("cand_key").agg(*(w.alias(f"h{k}") for k, w in enumerate(_words())), *([] if exact else [F.collect_set("feature").alias("have")]))
+    rows = begun.join(F.broadcast(own) if index.count() <= BROADCAST_FEATURES else own.hint("merge"), "cand_key")
+    for k, w in enumerate(_WORDS):
+        rows = rows.where(F.col(w).bitwiseAND(F.bitwise_not(f"h{k}")) == 0)
+    if not exact:
+        rows = rows.where(F.size(F.array_except("need", "have")) == 0)
+    told = F.struct(*key).alias("set")
+    return rows.select("cand_key", told, "jobs"), of_job.select("job_key", told)
+
+
+def covered_pairs(index: DataFrame, items: DataFrame) -> DataFrame:
+    """(cand_key, job_key) where the candidate has all required features of a vacancy that has any: relational division."""
+    found, of_job = covered_sets(index, items)
+    return found.join(of_job, "set").select("cand_key", "job_key")
 
 
 def job_totals(items: DataFrame) -> DataFrame:
@@ -274,35 +314,89 @@ def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, j
     return stopped.unionByName(_second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, listed), job_totals(items), threshold, listed))
 
 
-def telling_buckets(index: DataFrame, items: DataFrame, threshold: float) -> list[str] | None:
-    """Buckets of which a pair must share an item to reach `threshold`: those whose absence leaves too little weight, chosen so that least pairs share one.
+#: A bound is kept where it falls short of the threshold by no more than this: scores are rounded to six places, bucket by bucket.
+_SLACK = 1e-5
+
+
+def job_bounds(index: DataFrame, items: DataFrame, jobs: DataFrame, threshold: float) -> DataFrame:
+    """(job_key, <bucket>_most, rest): what any candidate can score at most with a vacancy in each bucket, and in seniority and years.
+
+    Every item counts as if the candidate with the best quality for its name held it. Vacancies that can't reach `threshold` with anyone, or that require what
+    nobody has, are left out: they meet no candidate at all. The work is a lookup of names and a sum for each vacancy.
+    """
+    best = index.groupBy("bucket", "name").agg(F.max("quality").alias("most"))
+    rows = items.join(best, ["bucket", "name"], "left")
+    sums = [F.try_divide(F.sum(F.when(F.col("bucket") == b, F.col("importance") * F.coalesce("most", F.lit(0.0)))), F.sum(F.when(F.col("bucket") == b, F.col("importance")))) for b in W.FEATURE_BUCKETS]
+    bounds = rows.groupBy("job_key").agg(F.count_if(F.col("required") & F.col("most").isNull()).alias("unheld"), *(F.coalesce(x, F.lit(0.0)).alias(f"{b}_most") for b, x in zip(W.FEATURE_BUCKETS, sums, strict=True)))
+    rest = [W.BUCKET[b] * F.when(known, clamped_confidence(F.col(c))).otherwise(0.0) for b, known, c in (
+        ("seniority", W.lookup(W.SENIORITY, F.col("seniority"), None).isNotNull(), "seniority_confidence"), ("years", F.col("min_years") > 0, "years_confidence"))]
+    able = jobs.select("job_key", sum(rest).alias("rest")).join(bounds, "job_key", "left").fillna(0, [f"{b}_most" for b in W.FEATURE_BUCKETS])
+    return able.where((F.coalesce("unheld", F.lit(0)) == 0) & (F.col("rest") + _weighted(lambda b: F.col(f"{b}_most")) >= threshold - _SLACK)).drop("unheld")
+
+
+def candidate_bounds(index: DataFrame) -> DataFrame:
+    """(cand_key, <bucket>_best): a candidate's best quality in each bucket; the score of a bucket is an average of qualities, so never above it."""
+    return index.groupBy("cand_key").agg(*(F.coalesce(F.max(F.when(F.col("bucket") == b, F.col("quality"))), F.lit(0.0)).alias(f"{b}_best") for b in W.FEATURE_BUCKETS))
+
+
+def _weighted(score) -> Column:
+    total = F.lit(0.0)
+    for b in W.FEATURE_BUCKETS:
+        total = total + W.BUCKET[b] * score(b)
+    return total
+
 
-    Null if even a pair without any common item could reach it. The work is a count for each name on either side; the driver gets a number for each bucket.
+def open_kinds(candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(c_kind, j_kind): the kinds of candidate and of vacancy that all gates on attributes let meet.
+
+    A kind is a distinct row of the columns that the gates read, known by two 64-bit hashes; so gates are asked once for each pair of kinds, whatever the
+    number of candidates and vacancies. Kinds meet by an equal place in seniority, which a vacancy lists from its own up (all where it has none), and an equal workplace:
+    a candidate lists those preferred, or stands under `*` without a preference, as every vacancy does beside its own.
     """
-    have, ask = index.groupBy("bucket", "name").agg(F.count("*").alias("c")), items.groupBy("bucket", "name").agg(F.count("*").alias("j"))
-    met = {r["bucket"]: r["n"] for r in ask.join(have, ["bucket", "name"]).groupBy("bucket").agg(F.sum(F.col("c") * F.col("j")).alias("n")).collect()}
-    rest = sum(w for b, w in W.BUCKET.items() if b not in W.FEATURE_BUCKETS)
-    able = [s for k in range(len(W.FEATURE_BUCKETS) + 1) for s in combinations(W.FEATURE_BUCKETS, k) if rest + sum(W.BUCKET[b] for b in W.FEATURE_BUCKETS if b not in s) < threshold - 1e-9]
-    return list(min(able, key=lambda s: sum(met.get(b, 0) for b in s))) if able else None
+    c, j = candidate_attributes(candidates).select(*_C_GATE).distinct(), job_attributes(jobs).select(*_J_GATE).distinct()
+    ranks, wanted = list(range(max(W.SENIORITY.values()) + 1)), F.array_distinct("c_preferred_workplaces")
+    asked = W.lookup(W.SENIORITY, F.col("j_seniority"), None)
+    own = c.withColumn("rank", W.lookup(W.SENIORITY, F.col("c_seniority"), 0)).withColumn("place", F.explode(F.when(F.size(wanted) > 0, wanted).otherwise(F.array(F.lit("*")))))
+    there = j.withColumn("rank", F.explode(F.filter(F.array(*map(F.lit, ranks)), lambda r: asked.isNull() | (r >= asked)))).withColumn("place", F.explode(F.array_distinct(F.array(name_or_empty(F.col("j_workplace")), F.lit("*")))))
+    plain = seniority_reason().isNull() & years_reason().isNull()
+    lists = ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0)) & (F.size(candidate_gate()) == 0)
+    met = there.join(F.broadcast(own) if c.count() <= BROADCAST_CANDIDATES else own.hint("merge"), ["rank", "place"])
+    return met.where(plain).where(lists).select(*_kind("c", _C_GATE), *_kind("j", _J_GATE)).distinct()
+
+
+def _kind(side: str, columns: tuple[str, ...]) -> list[Column]:
+    return [F.xxhash64(F.lit(k), *columns).alias(f"{side}_kind{k}") for k in (1, 2)]
+
+
+_C_GATE = (
+    "c_preferred_locations", "c_excluded_locations", "c_preferred_workplaces", "c_excluded_workplaces", "c_requires_visa_sponsorship", "c_avoid_export_control_roles", "c_seniority", "c_years",
+)
+_J_GATE = ("j_location", "j_workplace", "j_restrictions", "j_seniority", "j_min_years", "j_years_level")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """`df` worked out once: checkpointed where the session names a shared folder, which outlives executors, else cached, and worked out anew if lost."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def matches(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD) -> DataFrame:
     """The rows of `evaluate` with status match, less their empty reasons, without a product of candidates and vacancies.
 
-    Pairs come from an equi-join on the items of `telling_buckets`; then they meet the attributes, the first gate, and the rest of their features.
+    Vacancies whose bound is below the threshold go first; the others and the candidates meet by kinds that the gates let meet; pairs whose bucket bounds fall
+    short go before any feature is joined; then required features and the score decide. No bound loses a match.
     """
-    items, index = job_items(job_features), candidate_index(cand_features)
-    buckets = telling_buckets(index, items, threshold)
-    if buckets is None:
-        return evaluate(candidates, cand_features, jobs, job_features, threshold, False).where("status = 'match'")
-    keys = items.where(F.col("bucket").isin(buckets)).join(index, ["bucket", "name"]).select("cand_key", "job_key").distinct()
-    c = candidate_attributes(candidates)
+    items, index = job_items(job_features), _held(candidate_index(cand_features))
+    bounds = _held(job_bounds(index, items, jobs, threshold))
+    able = jobs.join(bounds.select("job_key"), "job_key", "left_semi")
+    j = job_attributes(able).select("*", *_kind("j", _J_GATE)).join(bounds, "job_key")
+    c = candidate_attributes(candidates).select("*", *_kind("c", _C_GATE)).join(candidate_bounds(index), "cand_key", "left").fillna(0.0, [f"{b}_best" for b in W.FEATURE_BUCKETS])
     c = F.broadcast(c) if candidates.count() <= BROADCAST_CANDIDATES else c.hint("merge")
-    # The cheapest conditions first: single columns, then those that look through lists.
-    plain = seniority_reason().isNull() & years_reason().isNull()
-    lists = ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0)) & (F.size(candidate_gate()) == 0)
-    passed = keys.join(job_attributes(jobs), "job_key").join(c, "cand_key").where(plain & lists)
-    return _second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, False), job_totals(items), threshold, False).where("status = 'match'")
+    reach = F.col("rest") + _weighted(lambda b: F.least(F.col(f"{b}_most"), F.col(f"{b}_best"))) >= threshold - _SLACK
+    met = j.join(open_kinds(candidates, able).hint("merge"), ["j_kind1", "j_kind2"]).join(c, ["c_kind1", "c_kind2"]).where(reach)
+    passed = met.drop("j_kind1", "j_kind2", "c_kind1", "c_kind2", "rest", *(f"{b}_{x}" for b in W.FEATURE_BUCKETS for x in ("most", "best")))
+    own = _held(items.join(bounds.select("job_key"), "job_key", "left_semi"))
+    passed = _held(passed)
+    return _second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, own, False), job_totals(own), threshold, False).where("status = 'match'")
 
 
 def ranked_jobs(evaluated: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def required_gate(spark, sf_dir):
     items = match.job_items(jf)
     asking = items.where("required").select("job_key").distinct()
     totals = jobs.agg(F.count("*").alias("all_jobs")).crossJoin(asking.agg(F.count("*").alias("asking")))
-    found = match.covered_pairs(match.candidate_index(cf), items).groupBy("cand_key").agg(F.count("*").alias("n"))
+    found = match.covered_sets(match.candidate_index(cf), items)[0].groupBy("cand_key").agg(F.sum("jobs").alias("n"))
     rows = c.select("cand_key").join(found, "cand_key", "left").crossJoin(F.broadcast(totals))
     covered = F.coalesce("n", F.lit(0)) + F.col("all_jobs") - F.col("asking")
     return rows.select("cand_key", covered.alias("covered"), (F.col("all_jobs") - covered).alias("not_covered"))

@@ -51,7 +51,7 @@ def test_language_levels_of_candidates(spark):
     assert {(r.name, round(r.quality, 6)) for r in match.candidate_index(frame).collect()} == {("dutch", 0.45), ("c", 0.8)}
 
 
-def test_matches_are_those_of_the_product(spark):
+def test_matches_are_those_of_the_product(spark, monkeypatch):
     own = [(k, b, f"n{(k * 7 + i) % 11}", "core", None, 1.0) for k in range(12) for i, b in enumerate(("skills", "protocols", "standards", "domains", "skills"))]
     asked = [(j, b, f"n{(j * 3 + i) % 11}", i, "required" if (i + j) % 4 == 0 else "preferred", 1.0) for j in range(40) for i, b in enumerate(("skills", "protocols", "standards", "domains")) if (i + j) % 5]
     c = spark.createDataFrame([(k, None, None, None, None, None, None, "senior", 1.0, 5, 1.0) for k in range(12)], C)
@@ -64,13 +64,17 @@ def test_matches_are_those_of_the_product(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     items, index = match.job_items(args[3]), match.candidate_index(args[1])
-    assert match.telling_buckets(index, items, 0.05) is None and match.matches(*args, 0.05).count() == match.evaluate(*args, 0.05).where("status = 'match'").count()
+    assert match.matches(*args, 0.05).count() == match.evaluate(*args, 0.05).where("status = 'match'").count()
     need = {k: {(r.bucket, r.name) for r in items.where(f"required and job_key = {k}").collect()} for k in range(6)}
     have = {}
     for r in index.collect():
         have.setdefault(r.cand_key, set()).add((r.bucket, r.name))
     want = {(a, b) for b, n in need.items() for a, h in have.items() if n and n <= h}
-    assert {(r.cand_key, r.job_key) for r in match.covered_pairs(index, items.where("job_key < 6")).collect()} == want
+    for bits in (4, 1):
+        monkeypatch.setattr(match, "SIGNATURE_WORDS", bits)
+        monkeypatch.setattr(match, "_WORDS", [f"w{k}" for k in range(bits)])
+        assert {(r.cand_key, r.job_key) for r in match.covered_pairs(index, items.where("job_key < 6")).collect()} == want
+        index = index.union(spark.createDataFrame([(99, "skills", f"more{k}", 0.5) for k in range(70)], index.schema))  # more features than one word has bits
 
 
 def test_email_begins_at_a_word(spark):
