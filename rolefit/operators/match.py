@@ -42,9 +42,9 @@ def job_constraints(jobs: DataFrame, features: DataFrame, stored: bool = True) -
     """
     order = F.element_at(F.create_map(*[x for k, b in enumerate(W.FEATURE_BUCKETS) for x in (F.lit(b), F.lit(k))]), F.col("bucket"))
     nothing, no_years = F.lit(None).cast("string"), F.lit(None).cast("int")
-    named = features.where("requirement_level = 'required'").select("job_key", order.alias("part"), F.col("pos").cast("int").alias("pos"), F.lit("required_feature").alias("kind"), "bucket", name_or_empty(F.col("name")).alias("value"), no_years.alias("min_years")).where("value <> ''")
+    named = features.where("requirement_level = 'required'").select("job_key", order.alias("part"), F.col("pos").cast("int").alias("pos"), F.lit("feature").alias("kind"), "bucket", name_or_empty(F.col("name")).alias("value"), no_years.alias("min_years")).where("value <> ''")
     senior = jobs.where("seniority is not null").select("job_key", F.lit(5).alias("part"), F.lit(0).alias("pos"), F.lit("seniority").alias("kind"), F.lit("seniority").alias("bucket"), "seniority", no_years)
-    years = jobs.where("min_years is not null and coalesce(years_level, '') <> 'preferred'" + ("" if stored else " and min_years > 0")).select("job_key", F.lit(6), F.lit(0), F.lit("years_experience"), F.lit("years"), nothing, "min_years")
+    years = jobs.where("min_years is not null and coalesce(years_level, '') <> 'preferred'" + ("" if stored else " and min_years > 0")).select("job_key", F.lit(6), F.lit(0), F.lit("years_experience"), F.lit("years_experience"), nothing, "min_years")
     rows = named.union(senior).union(years)
     if stored:
         restrictions = jobs.select("job_key", F.posexplode(_listed(jobs, "restrictions", "restriction")).alias("pos", "value"))

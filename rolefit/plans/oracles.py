@@ -92,9 +92,9 @@ fi AS (
 """
 _CONSTRAINTS = f"""
 {_BINDING}, cons AS (
-  SELECT DISTINCT job_key, 'required_feature' AS kind, bucket, name AS value, CAST(NULL AS INT) AS min_years FROM jf WHERE lvl = 'required'
+  SELECT DISTINCT job_key, 'feature' AS kind, bucket, name AS value, CAST(NULL AS INT) AS min_years FROM jf WHERE lvl = 'required'
   UNION ALL SELECT job_key, 'seniority', 'seniority', sen_name, NULL FROM jobs WHERE sen IS NOT NULL
-  UNION ALL SELECT job_key, 'years_experience', 'years', NULL, min_years FROM jobs WHERE NOT years_preferred
+  UNION ALL SELECT job_key, 'years_experience', 'years_experience', NULL, min_years FROM jobs WHERE NOT years_preferred
   UNION ALL SELECT job_key, 'restriction', 'restrictions', unnest([x for x in [CASE WHEN r_cit THEN 'citizenship' END, CASE WHEN r_work THEN 'work_authorization' END, CASE WHEN r_tech THEN 'controlled_technology' END] if x is not null]), NULL FROM jobs
 )
 """

@@ -46,8 +46,8 @@ def test_rank_and_constraints(spark):
     jobs = spark.createDataFrame([(1, "j", "x", "Remote", "senior", 1.0, 0, "required", 1.0, "citizenship")], JOB)
     features = spark.createDataFrame([(1, "domains", "b", 0, "required", 1.0), (1, "skills", "a", 1, "required", 1.0), (1, "skills", " A", 2, "required", 1.0), (1, "skills", "c", 3, "preferred", 1.0)], JOB_FEATURE)
     kinds = lambda stored: [(r.kind, r.value) for r in match.job_constraints(jobs, features, stored).orderBy("pos").collect()]
-    assert kinds(True) == [("required_feature", "a"), ("required_feature", "b"), ("seniority", "senior"), ("years_experience", None), ("restriction", "citizenship")]
-    assert kinds(False) == [("required_feature", "a"), ("required_feature", "b"), ("seniority", "senior")]
+    assert kinds(True) == [("feature", "a"), ("feature", "b"), ("seniority", "senior"), ("years_experience", None), ("restriction", "citizenship")]
+    assert kinds(False) == [("feature", "a"), ("feature", "b"), ("seniority", "senior")]
 
 
 def test_empty(spark):
