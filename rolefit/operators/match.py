@@ -9,7 +9,7 @@ singular name (preferred_location, restriction, ...), or missing. Wide columns n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rolefit.functions import weights as W
@@ -439,3 +439,14 @@ def first_jobs(jobs: DataFrame, limit: int | None, key: str = "job_key") -> Data
     if limit < 1:
         raise ValueError("the limit of vacancies must be 1 or more")
     return jobs.orderBy(key).limit(limit)
+
+
+def counted(evaluated: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """(`evaluated` unchanged, its counters): pairs, matches, pairs of each stage and the best score, gathered while another action runs over it.
+
+    The counters are there after the first action, which alone reads the pairs; asking for them earlier waits for it.
+    """
+    seen, stage = Observation(name), F.col("stage")
+    stages = {"stopped_by_candidate": "candidate_must_have", "stopped_by_job": "job_must_have", "ranked": "ranking"}
+    counters = [F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("status") == "match").alias("matches"), *(F.count_if(stage == s).alias(k) for k, s in stages.items()), F.max("score").alias("best")]
+    return evaluated.observe(seen, *counters), seen

@@ -53,3 +53,13 @@ def test_rank_and_constraints(spark):
 def test_empty(spark):
     assert evaluated(spark, [], []) == {}
     assert F is not None
+
+
+def test_counters_come_with_the_run(spark, tmp_path):
+    rows = [(1, 1, "ranking", "match", 0.7), (1, 2, "ranking", "mismatch", 0.2), (2, 1, "job_must_have", "mismatch", 0.0), (2, 2, "candidate_must_have", "mismatch", 0.0), (3, 1, "ranking", "match", 0.9)]
+    table = spark.createDataFrame(rows, "cand_key long, job_key long, stage string, status string, score double")
+    run, counters = match.counted(table)
+    run.write.parquet(f"{tmp_path}/out")
+    assert counters.get == {"pairs": 5, "matches": 2, "stopped_by_candidate": 1, "stopped_by_job": 1, "ranked": 3, "best": 0.9}
+    empty, none = match.counted(table.limit(0), "empty")
+    assert empty.collect() == [] and none.get["pairs"] == 0 and none.get["best"] is None
