@@ -140,8 +140,16 @@ def test_packing(spark):
         if fit is not None:
             rest.remove(fit)
         rest.append((4096 if fit is None else fit) - s)
-    used = {step.first_bin for step in best_fit_plan(counts, 4096)}
-    assert max(used) < len(rest) and len(best_fit_plan({}, 4096)) == 0
+    plan, used, room = best_fit_plan(counts, 4096), set(), {}
+    for step in plan:
+        ranks = sorted(x.rank for x in plan if x.size == step.size and x.rank > step.rank)
+        pieces = (ranks[0] if ranks else counts[step.size]) - step.rank
+        for k in range(pieces):
+            own = step.first_bin + k // step.each
+            used.add(own)
+            room[own] = room.get(own, 4096) - step.size
+    assert used == set(range(len(rest))) and sorted(room.values()) == sorted(rest)  # as many bins, as full, as one piece after the other gives
+    assert len(best_fit_plan({}, 4096)) == 0
     texts = [" ".join(words(r.randint(0, 60), k)) for k in range(60)] + [None, "", " ".join(words(900, 3))]
     rows = pack(docs(spark, texts), PATH, capacity=200).collect()
     bins = {}
