@@ -375,8 +375,8 @@ _J_GATE = ("j_location", "j_workplace", "j_restrictions", "j_seniority", "j_min_
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """`df` worked out once: checkpointed where the session names a shared folder, which outlives executors, else cached, and worked out anew if lost."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """`df` worked out once: checkpointed where the context was started with a shared folder for it, which outlives executors, else cached, and worked out anew if lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
 def matches(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD) -> DataFrame:
