@@ -148,6 +148,8 @@ _SQL = {
     "rank_summary": f"WITH {_EVALUATED} SELECT stage, status, count(*) AS pairs, count(DISTINCT cand_key) AS candidates, count(DISTINCT job_key) AS jobs, max(score) AS best FROM ev GROUP BY ALL",
     "match_explain": f"WITH {_EVALUATED} SELECT ev.cand_key, ev.job_key, i.bucket, i.pos, i.name, round(i.imp, 6) AS importance, round(q, 6) AS quality, q IS NOT NULL AS matched FROM ev JOIN items i ON i.job_key = ev.job_key AND imp > 0 LEFT JOIN cq ON cq.cand_key = ev.cand_key AND cq.bucket = i.bucket AND cq.name = i.name WHERE status = 'match'",
     "ranking_upsert": f"WITH {_EVALUATED} SELECT cand_key, CASE WHEN stage = 'ranking' AND score >= CASE WHEN policy = 'hybrid' THEN 0.7 ELSE 0.6 END::DOUBLE THEN 'match' ELSE 'mismatch' END AS status, count(*) AS jobs FROM ev JOIN jobs USING (job_key) GROUP BY ALL",
+    "keyed_rankings": """SELECT o_orderpriority AS company_slug, o_custkey::VARCHAR AS candidate_id, o_orderkey::VARCHAR AS job_id, CASE WHEN o_orderstatus = 'F' OR o_totalprice > 200000 THEN 'match' ELSE 'mismatch' END AS status,
+      o_totalprice::DOUBLE AS price, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END::INTEGER AS again FROM orders WHERE o_orderstatus <> 'P'""",
     "job_constraints": f"WITH {_CONSTRAINTS} SELECT job_key, kind, bucket, count(*) AS n, min(value) AS least, min(min_years) AS min_years FROM cons GROUP BY job_key, kind, bucket",
     "derived_constraints": f"WITH {_CONSTRAINTS} SELECT kind, count(*) AS n, count(DISTINCT job_key) AS jobs FROM cons WHERE kind <> 'restriction' AND coalesce(min_years, 1) > 0 GROUP BY kind",
     "location_gate": f"WITH {_BINDING}, g AS (SELECT cand_key, {_GATES} FROM jobs, cands), u AS (SELECT cand_key, unnest(CASE WHEN len(l) = 0 THEN ['pass'] ELSE l END) AS reason FROM (SELECT cand_key, [x for x in [r1, r2] if x is not null] AS l FROM g)) SELECT cand_key, reason, count(*) AS jobs FROM u GROUP BY ALL",

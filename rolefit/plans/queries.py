@@ -13,6 +13,7 @@ from rolefit.functions import text as T
 from rolefit.operators import collect, match, merge, publish, records
 from rolefit.plans import bindings as B
 from rolefit.plans.bindings import table
+from rolefit.sources import keyed
 
 BASE = "https://jobs.example.com"
 
@@ -71,6 +72,20 @@ def ranking_upsert(spark, sf_dir):
     return publish.upserted(old, new, ["cand_key", "job_key"]).groupBy("cand_key", "status").agg(F.count("*").alias("jobs"))
 
 
+def keyed_rankings(spark, sf_dir):
+    """Orders as rankings in a keyed sink: all, then those above 200,000 anew as matches, then the pending ones removed."""
+    path = keyed.shared_folder(spark, "rankings")
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("company_slug"), F.col("o_custkey").cast("string").alias("candidate_id"), F.col("o_orderkey").cast("string").alias("job_id"),
+        F.when(F.col("o_orderstatus") == "F", "match").otherwise("mismatch").alias("status"), F.col("o_totalprice").cast("double").alias("price"), "o_orderstatus",
+    )
+    rows = orders.drop("o_orderstatus")
+    keyed.publish_rankings(rows, path, 32)
+    keyed.publish_rankings(rows.where("price > 200000").withColumn("status", F.lit("match")).withColumn("again", F.lit(1)), path, 32)
+    keyed.remove_keyed(orders.where("o_orderstatus = 'P'"), path, keyed.RANKING_KEY, 32)
+    return keyed.read_keyed(spark, path).select("company_slug", "candidate_id", "job_id", "status", "price", F.coalesce("again", F.lit(0)).alias("again"))
+
+
 def job_constraints(spark, sf_dir):
     return match.job_constraints(B.jobs(spark, sf_dir), B.job_features(spark, sf_dir)).groupBy("job_key", "kind", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.min("min_years").alias("min_years"))
 
@@ -374,7 +389,7 @@ def skip_explanations(spark, sf_dir):
 
 
 _ALL = (
-    match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, ranking_upsert, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
+    match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, ranking_upsert, keyed_rankings, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
     normalize_texts, normalize_dedupe, job_identity, content_hash_reuse, confidence_cleaning, workplace_policy, page_fields, experience_hours, degrees_domains, recruiter_contact, restriction_class, link_harvest, discipline_map,
     facet_completeness, collection_limit, collection_validation, page_new_links, merge_job_features, merge_candidate_features, merge_restrictions, merge_languages, validate_payloads, snapshot_diff, new_fields, field_change_freq, keyword_filter,
     hard_filters, page_metadata, page_records, assembled_jobs, constraint_source, requirement_lines, validate_profiles, retrieved_links, skip_explanations,
