@@ -273,11 +273,34 @@ _NUMBERS = ("cand_key", "job_key", "stage", "status", "score", *(f"{b}_score" fo
 _REASONS = "array<struct<bucket:string,reason:string,expected:string,actual:string>>"
 
 
-def _second_stage(passed: DataFrame, features: DataFrame, totals: DataFrame, threshold: float, listed: bool) -> DataFrame:
-    """The result of pairs that the first gate lets pass: second gate, score, decision."""
+def stored_reasons(passed: DataFrame, index: DataFrame, stored: DataFrame) -> DataFrame:
+    """(cand_key, job_key, stored) for the pairs whose vacancy has rows in `stored` (job_key, pos, kind, bucket, value, min_years): the second gate's reasons by these constraints alone, in their order.
+
+    Kinds are feature, seniority, years_experience and restriction, all normalised here; others, blank values and years that are null ask nothing. Years of 0 ask that the candidate's are known.
+    Features meet the candidate's by (cand_key, bucket, name), a key that no two candidates share.
+    """
+    kind = name_or_empty(F.col("kind"))
+    asked = stored.select("job_key", "pos", kind.alias("s_kind"), name_or_empty(F.col("bucket")).alias("s_bucket"), F.nullif(name_or_empty(F.col("value")), F.lit("")).alias("s_value"), F.col("min_years").cast("int").alias("s_years"))
+    held = index.select("cand_key", F.col("bucket").alias("s_bucket"), F.col("name").alias("s_value"), F.lit(True).alias("s_held"))
+    rows = passed.join(asked, "job_key").join(held, ["cand_key", "s_bucket", "s_value"], "left")
+    is_kind = lambda k: F.when(F.col("s_kind") == k, F.col("s_years" if k == "years_experience" else "s_value"))
+    one = F.array_compact(F.array(is_kind("restriction")))
+    rows = rows.withColumns({"j_seniority": is_kind("seniority"), "j_min_years": is_kind("years_experience"), "j_years_level": F.lit(None).cast("string"), "j_restrictions": one})
+    missing = _reason((F.col("s_kind") == "feature") & F.col("s_value").isNotNull() & F.col("s_held").isNull(), F.col("s_bucket"), "required_feature_missing", F.col("s_value"))
+    why = F.coalesce(missing, seniority_reason(), years_reason(), F.get(restriction_reasons(), F.lit(0)))
+    every = rows.groupBy("cand_key", "job_key").agg(F.sort_array(F.collect_list(F.struct("pos", why.alias("why")))).alias("every"))
+    return every.select("cand_key", "job_key", F.array_compact(F.transform("every", lambda x: x["why"])).alias("stored"))
+
+
+def _second_stage(passed: DataFrame, features: DataFrame, totals: DataFrame, threshold: float, listed: bool, stored: DataFrame | None = None) -> DataFrame:
+    """The result of pairs that the first gate lets pass: second gate, score, decision. `stored` (of `stored_reasons`) stands for the gate where it has a pair."""
     rows = passed.join(features, ["cand_key", "job_key"], "left").join(totals, "job_key", "left")
     passes = (F.coalesce("n_missing", F.lit(0)) == 0) & seniority_reason().isNull() & years_reason().isNull()
-    rows = rows.withColumn("ranked", passes & ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0)))
+    passes = passes & ((F.size("j_restrictions") == 0) | (F.size(restriction_reasons()) == 0))
+    if stored is not None:
+        rows = rows.join(stored, ["cand_key", "job_key"], "left")
+        passes = F.when(F.col("stored").isNull(), passes).otherwise(F.size("stored") == 0)
+    rows = rows.withColumn("ranked", passes)
     ranked = F.col("ranked")
     score = {b: F.round(F.coalesce(F.try_divide(F.coalesce(F.col(f"{b}_sum"), F.lit(0)).cast("double"), F.coalesce(F.col(f"{b}_all"), F.lit(0)).cast("double")), F.lit(0.0)) + _HALF, 6) for b in W.FEATURE_BUCKETS}
     score |= {"seniority": F.round(seniority_score(), 6), "years": F.round(years_score(), 6)}
@@ -291,18 +314,21 @@ def _second_stage(passed: DataFrame, features: DataFrame, totals: DataFrame, thr
     if not listed:
         return rows.select(*_NUMBERS)
     second = F.concat(_missing_reasons(), F.array_compact(F.array(seniority_reason(), years_reason())), restriction_reasons())
+    if stored is not None:
+        second = F.coalesce("stored", second)
     rows = rows.withColumn("details", F.when(ranked, F.array().cast(_REASONS)).otherwise(second))
     reasons = F.transform("details", lambda x: x["reason"])
     return rows.select(*_NUMBERS, F.when(ranked & ~match, F.array(F.lit("score_below_threshold"))).otherwise(reasons).alias("reasons"), "details")
 
 
-def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD, listed: bool = True) -> DataFrame:
+def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, job_features: DataFrame, threshold: float = W.MATCH_THRESHOLD, listed: bool = True, stored: DataFrame | None = None) -> DataFrame:
     """One row for each pair: stage, status, score, the seven bucket scores, the gates' reasons and their details (bucket, reason, expected, actual).
 
     Stages: candidate_must_have, job_must_have, ranking. A pair that a gate stops has score 0, zero buckets and all reasons of that
     gate; one in the last stage below the threshold has `score_below_threshold`. An empty bucket scores 0 and weights are not renormalised.
     All pairs are a product by definition; `matches` gives the matches alone without one. The first gate reads attributes only, and only pairs
-    that pass it meet the features. Without `listed` reasons and details are left out.
+    that pass it meet the features. Without `listed` reasons and details are left out. Vacancies with rows in `stored` (job_key, pos, kind, bucket, value,
+    min_years) have these as the second gate, in their order; the others have what their own columns and items ask.
     """
     items, index = job_items(job_features), candidate_index(cand_features)
     rows = gated_pairs(candidates, jobs)
@@ -311,7 +337,8 @@ def evaluate(candidates: DataFrame, cand_features: DataFrame, jobs: DataFrame, j
         *([F.transform("first", lambda x: x["reason"]).alias("reasons"), F.col("first").alias("details")] if listed else []),
     )
     passed = rows.where(F.size("first") == 0).drop("first")
-    return stopped.unionByName(_second_stage(passed, pair_features(passed.select("cand_key", "job_key"), index, items, listed), job_totals(items), threshold, listed))
+    features, kept = pair_features(passed.select("cand_key", "job_key"), index, items, listed), stored_reasons(passed, index, stored) if stored is not None else None
+    return stopped.unionByName(_second_stage(passed, features, job_totals(items), threshold, listed, kept))
 
 
 #: A bound is kept where it falls short of the threshold by no more than this: scores are rounded to six places, bucket by bucket.
@@ -419,6 +446,28 @@ def explained(evaluated: DataFrame, cand_features: DataFrame, job_features: Data
     return found.select("cand_key", "job_key", "bucket", "pos", "name", F.round("importance", 6).alias("importance"), F.round("quality", 6).alias("quality"), F.col("quality").isNotNull().alias("matched"))
 
 
+def explained_levels(evaluated: DataFrame, candidates: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(cand_key, job_key, bucket, job_value, candidate_value, score, matched): what seniority and years add to pairs that reached the last stage.
+
+    Vacancies without a known seniority, or with no years above 0, have no such row. A gap has neither the candidate's value nor a score: a seniority of score 0, years that are unknown or below 0.
+    """
+    own = candidates.select("cand_key", *(F.col(x).alias("c_" + x) for x in ("seniority", "seniority_confidence", "years", "years_confidence")))
+    asked = jobs.select("job_key", *(F.col(x).alias("j_" + x) for x in ("seniority", "seniority_confidence", "min_years", "years_confidence")))
+    rows = evaluated.where("stage = 'ranking'").select("cand_key", "job_key").join(asked, "job_key").join(own.hint("merge"), "cand_key")
+
+    def entry(bucket: str, asks: Column, asked: Column, given: Column, score: Column, matched: Column) -> Column:
+        parts = [F.lit(bucket).alias("bucket"), asked.cast("string").alias("job_value"), F.when(matched, given.cast("string")).alias("candidate_value"), F.when(matched, F.round(score + _HALF, 6)).alias("score"), matched.alias("matched")]
+        return F.when(asks, F.struct(*parts))
+
+    senior, years = F.coalesce(seniority_score(), F.lit(0.0)), F.coalesce(years_score(), F.lit(0.0))
+    known = F.coalesce(F.col("c_years") >= 0, F.lit(False))
+    entries = F.array_compact(F.array(
+        entry("seniority", W.lookup(W.SENIORITY, F.col("j_seniority"), None).isNotNull(), name_or_empty(F.col("j_seniority")), name_or_empty(F.col("c_seniority")), senior, senior > 0),
+        entry("years_experience", F.coalesce(F.col("j_min_years") > 0, F.lit(False)), F.col("j_min_years"), F.col("c_years"), years, known),
+    ))
+    return rows.select("cand_key", "job_key", F.explode(entries).alias("e")).select("cand_key", "job_key", "e.*")
+
+
 def summary_lines(ranked: DataFrame) -> DataFrame:
     """One line of text for each row: stage, status, score and first reason."""
     line = F.format_string("#%d job %d: %s at %s, score %.3f, %s", "place", "job_key", "status", "stage", "score", F.coalesce(F.get("reasons", F.lit(0)), F.lit("none")))

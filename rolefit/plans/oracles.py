@@ -147,6 +147,12 @@ _SQL = {
     "topk_matches": f"{_RANKED} SELECT cand_key, CAST(place AS INT) AS place, job_key, score FROM ranked WHERE status = 'match' AND place <= 3",
     "rank_summary": f"WITH {_EVALUATED} SELECT stage, status, count(*) AS pairs, count(DISTINCT cand_key) AS candidates, count(DISTINCT job_key) AS jobs, max(score) AS best FROM ev GROUP BY ALL",
     "match_explain": f"WITH {_EVALUATED} SELECT ev.cand_key, ev.job_key, i.bucket, i.pos, i.name, round(i.imp, 6) AS importance, round(q, 6) AS quality, q IS NOT NULL AS matched FROM ev JOIN items i ON i.job_key = ev.job_key AND imp > 0 LEFT JOIN cq ON cq.cand_key = ev.cand_key AND cq.bucket = i.bucket AND cq.name = i.name WHERE status = 'match'",
+    "match_levels": f"""WITH {_EVALUATED}, s AS (SELECT p0.* FROM p0 JOIN ev USING (cand_key, job_key) WHERE status = 'match')
+      SELECT cand_key, job_key, 'seniority' AS bucket, sen_name AS job_value, CASE WHEN seniority_raw > 0 THEN sen_own END AS candidate_value, CASE WHEN seniority_raw > 0 THEN round(seniority_raw + 1e-10::DOUBLE, 6) END AS score, seniority_raw > 0 AS matched
+      FROM s WHERE sen IS NOT NULL
+      UNION ALL SELECT cand_key, job_key, 'years_experience', min_years::VARCHAR, years::VARCHAR, round(years_raw + 1e-10::DOUBLE, 6), true FROM s WHERE min_years > 0""",
+    "stored_constraint_reasons": f"""WITH {_EVALUATED.replace("[s2, s3,", "[CASE WHEN policy <> 'on-site' THEN s2 END, s3,")}, r AS (SELECT cand_key, job_key, unnest(reasons) AS reason, generate_subscripts(reasons, 1) - 1 AS seq FROM ev)
+      SELECT cand_key, CAST(seq AS INT) AS seq, reason, count(*) AS jobs FROM r GROUP BY ALL""",
     "ranking_upsert": f"WITH {_EVALUATED} SELECT cand_key, CASE WHEN stage = 'ranking' AND score >= CASE WHEN policy = 'hybrid' THEN 0.7 ELSE 0.6 END::DOUBLE THEN 'match' ELSE 'mismatch' END AS status, count(*) AS jobs FROM ev JOIN jobs USING (job_key) GROUP BY ALL",
     "keyed_rankings": """SELECT o_orderpriority AS company_slug, o_custkey::VARCHAR AS candidate_id, o_orderkey::VARCHAR AS job_id, CASE WHEN o_orderstatus = 'F' OR o_totalprice > 200000 THEN 'match' ELSE 'mismatch' END AS status,
       o_totalprice::DOUBLE AS price, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END::INTEGER AS again FROM orders WHERE o_orderstatus <> 'P'""",

@@ -64,6 +64,21 @@ def match_explain(spark, sf_dir):
     return match.explained(match.matches(*_inputs(spark, sf_dir)), cf, jf)
 
 
+def match_levels(spark, sf_dir):
+    c, _, jobs, _ = _inputs(spark, sf_dir)
+    return match.explained_levels(match.matches(*_inputs(spark, sf_dir)), c, jobs)
+
+
+def stored_constraint_reasons(spark, sf_dir):
+    """Reasons where on-site vacancies have stored constraints, all but the seniority that their own columns ask, and a kind that asks nothing."""
+    c, cf, jobs, jf = _inputs(spark, sf_dir)
+    onsite = jobs.where("remote_policy = 'On-site'")
+    stored = match.job_constraints(onsite, jf.join(onsite.select("job_key"), "job_key", "left_semi")).where("kind <> 'seniority'")
+    notes = onsite.select("job_key", F.lit(0).alias("pos"), F.lit("note").alias("kind"), F.lit("note").alias("bucket"), F.lit("x").alias("value"), F.lit(None).cast("int").alias("min_years"))
+    rows = match.evaluate(c, cf, jobs, jf, stored=stored.unionByName(notes)).select("cand_key", F.posexplode("reasons").alias("seq", "reason"))
+    return rows.groupBy("cand_key", "seq", "reason").agg(F.count("*").alias("jobs"))
+
+
 def ranking_upsert(spark, sf_dir):
     """Rankings at 0.6, then the hybrid vacancies anew at 0.7."""
     c, cf, jobs, jf = _inputs(spark, sf_dir)
@@ -389,7 +404,7 @@ def skip_explanations(spark, sf_dir):
 
 
 _ALL = (
-    match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, ranking_upsert, keyed_rankings, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
+    match_scores, match_reasons, match_details, rank_jobs, topk_matches, only_matches, rank_summary, match_explain, match_levels, stored_constraint_reasons, ranking_upsert, keyed_rankings, job_constraints, derived_constraints, location_gate, workplace_gate, restriction_gate, seniority_years_gate, required_gate,
     normalize_texts, normalize_dedupe, job_identity, content_hash_reuse, confidence_cleaning, workplace_policy, page_fields, experience_hours, degrees_domains, recruiter_contact, restriction_class, link_harvest, discipline_map,
     facet_completeness, collection_limit, collection_validation, page_new_links, merge_job_features, merge_candidate_features, merge_restrictions, merge_languages, validate_payloads, snapshot_diff, new_fields, field_change_freq, keyword_filter,
     hard_filters, page_metadata, page_records, assembled_jobs, constraint_source, requirement_lines, validate_profiles, retrieved_links, skip_explanations,

@@ -80,3 +80,33 @@ def test_matches_are_those_of_the_product(spark, monkeypatch):
 def test_email_begins_at_a_word(spark):
     row = spark.createDataFrame([("Ask .-ann@x.example.com or b@y.nl",)], "t string").select(recruiter_contact(F.col("t")).alias("r")).first()
     assert row.r.email == "ann@x.example.com"
+
+
+def test_stored_constraints_are_the_second_gate(spark):
+    from tests.test_match import CAND_FEATURE, CANDIDATE, JOB, JOB_FEATURE
+
+    cand = spark.createDataFrame([(1, "c", None, True, None, "medior", 0.9, None, 0.8)], CANDIDATE)
+    feats = spark.createDataFrame([(1, "skills", "python", "core", 1.0)], CAND_FEATURE)
+    jobs = spark.createDataFrame([(k, f"j{k}", "x", "Hybrid", "lead", 0.8, 4, "required", 0.7, None) for k in (1, 2, 3, 4)], JOB)
+    items = spark.createDataFrame([(k, "skills", n, p, "required", 0.9) for k in (1, 2, 3, 4) for p, n in enumerate(("python", "excel"))], JOB_FEATURE)
+    rows = [
+        (1, 0, " Feature", "Skills", "PYTHON ", None), (1, 1, "note", "x", "y", None), (1, 2, "seniority", "seniority", " ", None), (1, 3, "years_experience", None, None, None),
+        (2, 5, "restriction", "restrictions", "work_authorization", None), (2, 2, "years_experience", "years_experience", None, 0), (2, 1, "seniority", "seniority", "Senior", None), (2, 9, "feature", "domains", "python", None), (2, 9, "feature", "domains", "python", None),
+        (3, 0, "seniority", "seniority", "junior", None),
+    ]
+    stored = spark.createDataFrame(rows, "job_key long, pos int, kind string, bucket string, value string, min_years int")
+    got = {r.job_key: r for r in match.evaluate(cand, feats, jobs, items, 0.0, stored=stored).collect()}
+    assert {k: got[k].stage for k in got} == {1: "ranking", 2: "job_must_have", 3: "ranking", 4: "job_must_have"}
+    assert got[2].reasons == ["seniority_not_satisfied", "years_experience_not_satisfied", "work_authorization_not_satisfied", "required_feature_missing", "required_feature_missing"]
+    assert got[4].reasons == ["required_feature_missing", "seniority_not_satisfied", "years_experience_not_satisfied"] and got[1].skills_score == 0.5
+    plain = {r.job_key: r for r in match.evaluate(cand, feats, jobs, items, 0.0, False, stored).collect()}
+    assert {k: (plain[k].stage, plain[k].score) for k in plain} == {k: (got[k].stage, got[k].score) for k in got}
+
+
+def test_seniority_and_years_are_explained(spark):
+    cands = spark.createDataFrame([(1, "Senior", 1.0, 3, 0.5), (2, None, None, None, None), (3, "junior", 1.0, -1, 1.0)], "cand_key long, seniority string, seniority_confidence double, years int, years_confidence double")
+    jobs = spark.createDataFrame([(1, " lead", 0.8, 6, 1.0), (2, "boss", 1.0, 0, 1.0), (3, None, None, None, None)], "job_key long, seniority string, seniority_confidence double, min_years int, years_confidence double")
+    pairs = cands.select("cand_key").crossJoin(jobs.select("job_key")).withColumn("stage", F.lit("ranking")).unionByName(spark.createDataFrame([(1, 1, "job_must_have")], "cand_key long, job_key long, stage string"))
+    got = {(r.cand_key, r.job_key, r.bucket): (r.job_value, r.candidate_value, r.score, r.matched) for r in match.explained_levels(pairs, cands, jobs).collect()}
+    gaps = {(c, 1, b): (v, None, None, False) for c in (2, 3) for b, v in (("seniority", "lead"), ("years_experience", "6"))}
+    assert got == gaps | {(1, 1, "seniority"): ("lead", "senior", 0.4, True), (1, 1, "years_experience"): ("6", "3", 0.25, True)}
