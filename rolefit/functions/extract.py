@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rolefit.functions.markup import let
 from rolefit.functions.text import has_any, normalized, taxonomy_name
 
 # Patterns, names and phrases that must be these for right results.
@@ -93,8 +94,8 @@ def hours_per_week(text: Column) -> Column:
 
 def first_mentions(texts: list[Column], names: dict[str, str]) -> Column:
     """Names in order of (text, first place, name), each once."""
-    found = [F.struct(F.lit(k).alias("k"), F.regexp_instr(normalized(F.coalesce(t, F.lit(""))), F.lit(p)).alias("at"), F.lit(n).alias("name")) for k, t in enumerate(texts) for n, p in names.items()]
-    return F.array_distinct(F.transform(F.array_sort(F.filter(F.array(*found), lambda x: x.at > 0)), lambda x: x["name"]))
+    places = [let(normalized(F.coalesce(t, F.lit(""))), lambda s, k=k: F.array(*(F.struct(F.lit(k).alias("k"), F.regexp_instr(s, F.lit(p)).alias("at"), F.lit(n).alias("name")) for n, p in names.items()))) for k, t in enumerate(texts)]
+    return F.array_distinct(F.transform(F.array_sort(F.filter(F.concat(*places), lambda x: x.at > 0)), lambda x: x["name"]))
 
 
 def required_degrees(background: Column, description: Column) -> Column:
@@ -153,7 +154,7 @@ def recruiter_contact(description: Column) -> Column:
 
 def requirement_level(text: Column) -> Column:
     s = F.nullif(taxonomy_name(F.coalesce(text, F.lit(""))), F.lit(""))
-    return F.when(s.isNull(), None).when(has_any(s, PREFERRED_PHRASES), "preferred").otherwise("required")
+    return let(s, lambda s: F.when(s.isNull(), None).when(has_any(s, PREFERRED_PHRASES), "preferred").otherwise("required"))
 
 
 def restriction_class(text: Column) -> Column:

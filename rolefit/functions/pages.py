@@ -111,14 +111,14 @@ def requirement_lines(text: Column) -> Column:
     # [\s\S] in place of a dot: sections span lines
     section = F.regexp_extract(text, rf"(?i){SECTION_START.replace('?', '[?]')}([\s\S]*?)(?:{SECTION_END}|\z)", 1)
     lines = F.filter(F.transform(F.split(section, r"\r\n|\r|\n"), normalized), lambda x: x != "")
-    flat = F.when(F.size(lines) == 1, F.split(F.get(lines, F.lit(0)), _LINE_STARTS)).otherwise(lines)
-    found = F.coalesce(flat, F.array().cast("array<string>"))
-    preferred = F.filter(found, lambda x: requirement_level(x) == "preferred")
-    return F.struct(F.filter(found, lambda x: requirement_level(x) == "required").alias("required"), preferred.alias("preferred"))
+    flat = let(lines, lambda x: F.when(F.size(x) == 1, F.split(F.get(x, F.lit(0)), _LINE_STARTS)).otherwise(x))
+    found = F.transform(F.coalesce(flat, F.array().cast("array<string>")), lambda x: F.struct(x.alias("line"), requirement_level(x).alias("level")))
+    of = lambda told, level: F.transform(F.filter(told, lambda x: x.level == level), lambda x: x.line).alias(level)
+    return let(found, lambda told: F.struct(of(told, "required"), of(told, "preferred")))
 
 
 def spoken_languages(required: Column, preferred: Column) -> Column:
     """struct(required, preferred): languages named in the lines, in order of first mention; one that is required is not preferred too."""
     names = {n: rf"(?i)\b{n}\b" for n in LANGUAGES}
-    asked = first_mentions([F.array_join(required, " ")], names)
-    return F.struct(asked.alias("required"), F.array_except(first_mentions([F.array_join(preferred, " ")], names), asked).alias("preferred"))
+    other = first_mentions([F.array_join(preferred, " ")], names)
+    return let(first_mentions([F.array_join(required, " ")], names), lambda asked: F.struct(asked.alias("required"), F.array_except(other, asked).alias("preferred")))

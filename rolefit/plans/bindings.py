@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt over all cores: a table of short rows is a small file, and a file of one row group one task, whatever each row costs afterwards."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     bucket = F.when(F.col("l_linenumber").isin(1, 2), "skills").when(F.col("l_linenumber") == 3, "protocols").when(F.col("l_linenumber") == 4, "standards").when(F.col("l_linenumber") == 5, "domains").otherwise("languages")
     name = (
