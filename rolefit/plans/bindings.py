@@ -82,7 +82,7 @@ def vacancy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       if(page_id % 12 = 7, '<li><a>Jobs</a><a>Team</a></li>', ''), if(page_id % 6 = 1, concat('<li><div><b> Team </b><p> Team <u>', host, '</u></div></li>'), ''), '</ul>')"""
     main = """concat('<main><p>', host, ' builds systems for the semiconductor and medical industries. A Bachelor degree is asked for.</p><p>We offer ', page_id % 9 + 24, '-40 hours per week with room to work from home.</p>',
       '<p>From our office and at our clients\\' sites, you will work on challenging projects in the North region for all that we do there.</p></main>')"""
-    rows = table(spark, sf_dir, "pages").withColumn("host", host)
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("host", host)
     head = F.concat(F.lit("<body><h1>Vacancy "), F.col("page_id").cast("string"), F.lit("</h1>"), F.expr(tags), F.expr(ld), F.expr(labels), F.expr(main))
     return rows.select("page_id", "url", "host", F.lit(None).cast("string").alias("title"), F.array(F.lit("software"), F.lit("ai")).alias("disciplines"), F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
 
